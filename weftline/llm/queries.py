@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import encoding
+from weftline.llm import distinctive, encoding
 from weftline.runtime import table
 
 
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every listing with its score against the whole catalogue."""
+    items, meta = table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "catalog_meta")
+    n = items.select("parent_asin").distinct().count()
+    return distinctive.tf_idf(distinctive.listing_terms(items, meta), "parent_asin", "terms", n)
+
+
+P1_SQL = r"""
+WITH titles AS (SELECT parent_asin, max(title) AS title FROM catalog_items GROUP BY parent_asin),
+vocab AS (SELECT parent_asin, max(vocab) AS vocab FROM catalog_meta GROUP BY parent_asin),
+terms AS (
+  SELECT parent_asin, list_concat(
+    coalesce(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), []), coalesce(regexp_extract_all(lower(vocab), '\S+'), [])) AS terms
+  FROM titles LEFT JOIN vocab USING (parent_asin)),
+pairs AS (
+  SELECT parent_asin, length, term, count(*) AS tf
+  FROM (SELECT parent_asin, len(terms) AS length, unnest(terms) AS term FROM terms) GROUP BY ALL),
+frequencies AS (SELECT term, count(*) AS df FROM pairs GROUP BY term),
+size AS (SELECT count(*) AS n FROM titles)
+SELECT parent_asin, term, tf, df, round(tf / length * ln((1.0 + n) / (1.0 + df)), 9) AS score
+FROM pairs JOIN frequencies USING (term), size
+"""
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_column(table(spark, sf_dir, "documents"))
@@ -20,5 +44,5 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), same.alias("same"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_scores": p1_scores, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+SQL: dict[str, str] = {"p1_scores": P1_SQL}
