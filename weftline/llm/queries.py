@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import distinctive, encoding
+from weftline.llm import distinctive, encoding, mixing
 from weftline.runtime import table
 
 
@@ -44,5 +44,15 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), same.alias("same"))
 
 
-QUERIES = {"p1_scores": p1_scores, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixtures of all plans in training order."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares wanted and reached, per plan and source."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {"p1_scores": p1_scores, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 SQL: dict[str, str] = {"p1_scores": P1_SQL}
