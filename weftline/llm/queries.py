@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import distinctive, encoding, mixing
+from weftline.llm import distinctive, encoding, fused_ranking, mixing
 from weftline.runtime import table
 
 
@@ -32,6 +32,18 @@ FROM pairs JOIN frequencies USING (term), size
 """
 
 
+def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every request in one ranking."""
+    return fused_ranking.fuse(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "catalog_meta"))[0]
+
+
+def p3_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each score weighs in the ranking, and which builds log it upside down."""
+    learned = fused_ranking.fuse(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "catalog_meta"))[1]
+    return spark.createDataFrame([(x["score"], x["direction"], round(x["loading"], 6), x["upside_down"]) for x in learned],
+                                 "score string, direction int, loading double, upside_down array<string>")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_column(table(spark, sf_dir, "documents"))
@@ -54,5 +66,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p1_scores": p1_scores, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES = {"p1_scores": p1_scores, "p3_ranking": p3_ranking, "p3_loadings": p3_loadings, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 SQL: dict[str, str] = {"p1_scores": P1_SQL}
