@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import distinctive, encoding, fused_ranking, mixing
+from weftline.llm import distinctive, encoding, fused_ranking, mixing, residue
 from weftline.runtime import table
 
 
@@ -66,5 +66,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p1_scores": p1_scores, "p3_ranking": p3_ranking, "p3_loadings": p3_loadings, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue, filler, or error and script pages."""
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with the kind of residue."""
+    return residue.find_residue(table(spark, sf_dir, "documents"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    return residue.without_residue(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_scores": p1_scores, "p3_ranking": p3_ranking, "p3_loadings": p3_loadings, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_clean": p8_clean}
 SQL: dict[str, str] = {"p1_scores": P1_SQL}
