@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import distinctive, encoding, fused_ranking, mixing, residue
+from weftline.llm import distinctive, encoding, fused_ranking, mixing, residue, same_product
 from weftline.runtime import table
 
 
@@ -44,6 +44,16 @@ def p3_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "score string, direction int, loading double, upside_down array<string>")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of the same product."""
+    return same_product.same_pairs(same_product.cluster(table(spark, sf_dir, "catalog_items")))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every identified listing with the key of its product."""
+    return same_product.cluster(table(spark, sf_dir, "catalog_items"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_column(table(spark, sf_dir, "documents"))
@@ -81,5 +91,5 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_scores": p1_scores, "p3_ranking": p3_ranking, "p3_loadings": p3_loadings, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_clean": p8_clean}
+QUERIES = {"p1_scores": p1_scores, "p3_ranking": p3_ranking, "p3_loadings": p3_loadings, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_clean": p8_clean}
 SQL: dict[str, str] = {"p1_scores": P1_SQL}
