@@ -75,7 +75,7 @@ def fuse(routes: DataFrame, key: str, priority: list[str], limit: int = POOL) ->
 
     Order: fused score, best rank, place of the route in ``priority``, id. Raw scores of the routes are kept.
     """
-    place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in priority]), F.col("route")), F.lit(len(priority) + 1))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in priority]), F.col("route")), F.lit(0)), F.lit(len(priority) + 1))
     fused = routes.withColumn("place", F.struct("rank", place.alias("place"))).groupBy(key, "parent_asin").agg(
         F.round(F.sum(1.0 / (DAMPING + F.col("rank"))), 9).alias("fusion_score"), F.min("place").alias("best"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("route", "score")))).alias("route_scores"))
