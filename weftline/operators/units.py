@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.runtime import materialize
+from weftline.runtime import materialize, spread
 
 #: Factors of units to the common unit of their dimension (g, 0.1 mm, ml, m of water).
 FACTORS = {
@@ -200,7 +200,7 @@ def measured(items: DataFrame) -> DataFrame:
             types = [pa.string()] * 5 + [pa.float64()] + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in MEASURED.split(", ")])
 
-    source = items.select("parent_asin", store_key("store").alias("store_key"), F.try_element_at("categories", F.lit(-1)).alias("category"), "details")
+    source = spread(items.select("parent_asin", store_key("store").alias("store_key"), F.try_element_at("categories", F.lit(-1)).alias("category"), "details"))
     return source.mapInArrow(run, MEASURED).distinct()
 
 

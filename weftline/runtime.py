@@ -47,3 +47,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that is read in fewer partitions than there are cores, before work in Python that one task would do alone.
+
+    Such a table is small for the cluster: each partition holds ``spark.sql.files.maxPartitionBytes`` at most, so the
+    shuffle is bounded by that times the cores. Larger tables are left as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
