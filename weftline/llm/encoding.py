@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from weftline.runtime import spread
+
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -79,7 +81,7 @@ def encode_column(df: DataFrame, text: str = "text", ids: str = "ids", path: str
             out = pa.array([encode(encoding, t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, ids])
 
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = spread(df.select(*keep, F.col(text).alias("__text")))
     schema = source.drop("__text").schema.add(ids, T.ArrayType(T.IntegerType()))
     return source.mapInArrow(run, schema)
 
@@ -93,7 +95,7 @@ def count_column(df: DataFrame, text: str, count: str, path: str = f"{TOKENIZERS
             out = pa.array([len(encode(encoding, t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, count])
 
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = spread(df.select(*keep, F.col(text).alias("__text")))
     return source.mapInArrow(run, source.drop("__text").schema.add(count, T.LongType()))
 
 

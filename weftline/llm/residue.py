@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.runtime import materialize
+from weftline.runtime import materialize, spread
 
 #: Forms of a variable in template languages, and of the error values of programs and sheets.
 VARIABLE = (
@@ -58,6 +58,9 @@ STAND_IN = (
 
 SUSPECT = regex.compile("|".join(VARIABLE) + "|(?i:" + "|".join(STAND_IN) + ")")
 
+#: Forms that occur nowhere but in templates: for these it is enough that the words on one side are followed (or led) by different words.
+STRONG = regex.compile("|".join(v for v in VARIABLE if not v.startswith((r"\[[\w", r"(?<![\w%])%[sd]", r"<[a-z"))))
+
 #: A cheap test that every sentence with a suspect passes, and few others.
 MAYBE = re.compile(r"[{}\[\]<>@~#_]|%[\w(]|\$[a-zA-Z]|\?\?\?|null|undef|none|nan|nil|void|xxx|tb[da]|todo|n/a|tk", re.I)
 
@@ -69,6 +72,7 @@ FILTER_BITS = 22
 
 TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}\d'’&-]+|[^\s\p{L}\d]")
 INVISIBLE = regex.compile(r"(?![\n\t])[\p{Cf}\p{Cc}]")
+BROKEN = re.compile(r"[ \t]*(?:\r\n|\n{3,})\s*")
 BLANKS = re.compile(r"[^\S\n]+")
 BULLET = re.compile(r"^[-*•\s]+")
 NOISE = regex.compile(r"(\P{L})\1{9,}|(\p{L})\2{9,}|[^\p{Latin}\p{M}\p{N}\p{P}\p{S}\s]+|[\uFF01-\uFF60]+")
@@ -76,7 +80,7 @@ SPOKEN = regex.compile(r"\p{Latin}|\d")
 CONTRACTIONS = regex.compile(r"(?:\p{L}+['’]\p{L}+\s*)+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-CODE = re.compile(r"\b(?=\w*\d)\w+\b")
+CODE = re.compile(r"\b(?=\w*\d)\w+\b|\b[A-Z]{8}\b(?=[^a-z]*$|.*[a-z])")
 APART = re.compile(r"[\W_]+")
 STOP = re.compile(r"[.!?:;…]$")
 TAG = regex.compile(r"</?(?:p|br|div|span|b|i|em|strong|h[1-6]|ul|ol|li|a|html|body|head|title|noscript|script)\b[^<>]*>", regex.I)
@@ -99,7 +103,7 @@ PAGE_WORDS = regex.compile(
     r"berechtigung|permiso|not authorised|not authorized|session expired|session expirée|sitzung abgelaufen|sesión caducad|"
     r"log in again|reconnect|melden sie sich|inicie sesión|request limit|try again|erneut versuchen|réessay|reintentar|"
     r"something went wrong|unexpected|inattendue|unerwartet|inesperado|exception|maintenance|wartung|mantenimiento|offline|\bgone\b|"
-    r"too many requests|trop de requêtes|zu viele anfragen|demasiadas solicitudes|"
+    r"oops|hoppla|\bups\b|too many requests|trop de requêtes|zu viele anfragen|demasiadas solicitudes|"
     r"could not be (?:located|found)|link may be broken|n'existe pas|existiert nicht|no existe|has been removed|"
     r"placeholder|text goes here|dummy|sample (?:text|paragraph)|coming soon|lorem|goes here|ihr text|votre texte|su texto|"
     r"blindtext|platzhalter|texte d'exemple|texto de (?:ejemplo|relleno)|próximamente|demnächst|bientôt|heading text|button label|"
@@ -112,7 +116,7 @@ PAGE_SHARE = 0.35
 def plain(text: str) -> str:
     """Without entities, mark-up and invisible characters; runs of blanks are one."""
     text = html.unescape(html.unescape(text)) if "&" in text else text
-    text = INVISIBLE.sub("", TAG.sub(" ", text.replace("<|endoftext|>", " ")))
+    text = INVISIBLE.sub("", TAG.sub(" ", BROKEN.sub(" ", text.replace("<|endoftext|>", " "))))
     return BLANKS.sub(" ", text.replace("#REF!", "#REF"))
 
 
@@ -140,7 +144,7 @@ def aligned(sentence: str) -> tuple[list[str], list[bool]]:
     return tokens, suspect
 
 
-def places(tokens: list[str], i: int, j: int) -> list[str]:
+def places(tokens: list[str], i: int, j: int, strong: bool = False) -> list[str]:
     """The places of the filler ``tokens[i:j]``: two words before and one after, and one before and two after.
 
     A place needs a word on the side of one, so that fillers at an end of the sentence are told by both of their neighbours.
@@ -152,6 +156,10 @@ def places(tokens: list[str], i: int, j: int) -> list[str]:
         out.append(f"B {l2} {l1} {r1}")
     if r1 != "$" and not (l1 == "^" and r2 == "$"):
         out.append(f"C {l1} {r1} {r2}")
+    if strong and l2 != "^":
+        out.append(f"X {l2} {l1}")
+    if strong and r2 != "$":
+        out.append(f"Y {r1} {r2}")
     return out
 
 
@@ -175,8 +183,8 @@ def bit(key: str) -> int:
 
 def hints(place: str) -> str:
     """The pair of words a place starts or ends with, by which it is looked for."""
-    kind, a, b, c = place.split(" ")
-    return f"L {a} {b}" if kind == "B" else f"R {b} {c}"
+    kind, *words = place.split(" ")
+    return f"L {words[0]} {words[1]}" if kind in "BX" else f"R {words[-2]} {words[-1]}"
 
 
 def page_sentences(text: str) -> list[tuple[str, bool]]:
@@ -193,7 +201,7 @@ def page_sentences(text: str) -> list[tuple[str, bool]]:
             parts = parts[1:]
     out = {}
     for s in parts:
-        low = s.lower()
+        low = (s if s.isupper() else CODE.sub("0", s)).lower()
         words = WORD.findall(low)
         if len(words) > 2 and sum(w in FILLER_WORDS for w in words) >= 0.8 * len(words):
             out["filler"] = True
@@ -220,7 +228,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     tokens, suspect = aligned(s)
                     for i, j in suspects(tokens, suspect):
-                        rows.extend((doc, "p", place, False, 0, 0) for place in places(tokens, i, j))
+                        strong = any(STRONG.fullmatch(t) for t in tokens[i:j])
+                        rows.extend((doc, "p", place, False, 0, 0) for place in places(tokens, i, j, strong))
         columns = list(zip(*rows)) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()])],
@@ -246,11 +255,17 @@ def _fillers(bits: bytes):
                     n = len(tokens)
                     for i in range(n + 1):
                         if known[bit(f"L {padded[i]} {padded[i + 1]}")]:
+                            place = f"X {padded[i]} {padded[i + 1]}"
+                            if i < n and known[bit(place)]:
+                                found.add((place, tokens[i]))
                             for j in range(i + 1, min(n, i + LONGEST) + 1):
                                 place = f"B {padded[i]} {padded[i + 1]} {padded[j + 2]}"
                                 if known[bit(place)]:
                                     found.add((place, " ".join(tokens[i:j])))
                         if known[bit(f"R {padded[i + 2]} {padded[i + 3]}" if i < n else "R $ $")]:
+                            place = f"Y {padded[i + 2]} {padded[i + 3]}" if i < n else ""
+                            if i and known[bit(place)]:
+                                found.add((place, tokens[i - 1]))
                             for h in range(max(0, i - LONGEST), i):
                                 place = f"C {padded[h + 1]} {padded[i + 2]} {padded[i + 3] if i < n else '$'}"
                                 if known[bit(place)]:
@@ -310,7 +325,7 @@ def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text")
     are read whole; an empty table gives an empty one; other columns aren't read. A place needs ``LEAST`` different
     fillers, so a corpus too small to show a template gives no slots.
     """
-    texts = documents.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    texts = spread(documents.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")))
     scanned = materialize(texts.mapInArrow(_scan, SCAN), "scanned")
     pages = page_documents(scanned).withColumn("kind", F.lit("page"))
     slots = slot_documents(texts, scanned, "text").withColumn("kind", F.lit("slot"))
