@@ -103,6 +103,8 @@ def logged_signs(ranked: DataFrame, k: int) -> dict[str, list[int]]:
     One row per build comes back. A score that follows the position in the expected sense, or not clearly, keeps 1; the
     last column, popularity, isn't logged by builds.
     """
+    if k == 1:
+        return {}
     sums = ranked.groupBy("build_tag").agg(*[
         x for i in range(k - 1) for held in [F.col(f"h{i}")] for x in (
             F.corr(F.when(held, F.col(f"r{i}")), F.when(held, F.col("pool_pos").cast("double"))).alias(f"c{i}"),
