@@ -41,6 +41,8 @@ def tf_idf(records: DataFrame, record: str, terms: str, n_records: int, hot: int
         .groupBy("record", "length", "term")
         .agg(F.count("*").alias("tf"))
     )
+    # Read three times below: once for the frequencies, once for the hot and once for the other terms.
+    pairs = materialize(pairs, "pairs")
     frequencies = materialize(pairs.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     n_pairs = frequencies.agg(F.sum("df")).first()[0] or 0
     is_hot = F.col("df") * hot >= n_pairs
