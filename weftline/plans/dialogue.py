@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import extract, text
 from weftline.operators import catalog, search
@@ -89,10 +89,8 @@ def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def popularity_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Popularity of each product and whether its store has better-known ones: rank within the store, unknown ones last."""
-    s = catalog.signals(products(spark, sf_dir)).filter(F.col("store") != "")
-    order = Window.partitionBy("store").orderBy(F.desc_nulls_last("popularity"), "parent_asin")
-    return s.withColumn("place", F.rank().over(order)).filter(F.col("place") <= 10).select("store", "parent_asin", F.round("popularity", 9).alias("popularity"), "place")
+    """Popularity of every product: ``log1p`` of its rating count, null (not 0) where the count is missing or negative."""
+    return products(spark, sf_dir).select("parent_asin", F.round(catalog.popularity("rating_number"), 9).alias("popularity"))
 
 
 QUERIES = {f.__name__: f for f in (
