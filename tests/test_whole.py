@@ -1,14 +1,44 @@
 """Queries give every row they are asked for, not only the ones that are easy to reach."""
 
 import math
+from datetime import datetime
 
-from weftline.plans import dialogue
+from weftline.plans import dialogue, pool
 
+TURNS = "request_id bigint, session_id string, turn int, user_message string, received_at timestamp"
+CANDIDATES = "request_id bigint, session_id string, parent_asin string, pool_pos int, route_scores map<string,double>"
+META = ("parent_asin string, colors array<string>, materials array<string>, cats array<string>, store string, sizes array<string>, price double, "
+        "vocab string, popularity double")
 ITEMS = "parent_asin string, store string, rating_number bigint"
 
 
+def write(spark, folder, turns, candidates, meta):
+    """Tables of requests (id, text), candidates (request, product, position, scores) and products (by column)."""
+    names = [c.split()[0] for c in META.split(", ")]
+    rows = {
+        "turns": ([(r, f"s{r}", 1, text, datetime(2026, 1, 1)) for r, text in turns], TURNS),
+        "candidates": ([(r, f"s{r}", a, pos, scores) for r, a, pos, scores in candidates], CANDIDATES),
+        "catalog_meta": ([tuple({"parent_asin": a, **m}.get(n) for n in names) for a, m in meta.items()], META)}
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
 def test_popularity_of_every_product(spark, tmp_path):
     rows = [(f"A{i:02}", "one store", 1000 - i) for i in range(15)] + [("B", "", 3), ("C", None, 0), ("D", "s", None), ("E", "s", -1)]
     spark.createDataFrame(rows, ITEMS).write.parquet(f"{tmp_path}/catalog_items.parquet")
     got = [tuple(r) for r in dialogue.popularity_feature(spark, str(tmp_path)).select("parent_asin", "popularity").collect()]
     assert sorted(got) == sorted((a, round(math.log1p(n), 9) if n is not None and n >= 0 else None) for a, _, n in rows)
+
+
+def test_rerank_is_a_permutation_of_every_pool(spark, tmp_path):
+    """Zero scorers, candidates without words, and requests without evidence keep the incoming order."""
+    spots = [("D", 1), ("C", 2), ("B", 3), ("A", 4), ("N", 5), ("Z", None)]
+    candidates = [(r, a, pos, None) for r in (1, 2, 3) for a, pos in spots] + [(1, "D", 9, None)]
+    meta = {"A": {"vocab": "linen hemp"}, "B": {"vocab": "linen"}, "C": {"vocab": "wool"}, "D": {"vocab": "wool"}, "N": {}}
+    folder = write(spark, tmp_path, [(1, "hemp or linen"), (2, "nothing that the pool has"), (3, None)], candidates, meta)
+    got = {}
+    for r in sorted(pool.pool_idf_rerank(spark, folder).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.request_id, []).append((r.parent_asin, r.score))
+    zeros = [(a, 0.0) for a, _ in spots]
+    assert got == {1: [("A", round(math.log(3) + math.log(2), 6)), ("B", round(math.log(2), 6)), *[z for z in zeros if z[0] not in "AB"]], 2: zeros, 3: zeros}

@@ -58,7 +58,12 @@ def kept(frequencies: DataFrame) -> DataFrame:
 
 
 def idf_rerank(members: DataFrame, vocab: DataFrame, said: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """``request_id, parent_asin, score``: summed ln(pool / (1 + df)) of the request's words that a product holds."""
+    """``request_id, parent_asin, score`` of every member: summed ln(pool / (1 + df)) of the request's words that a product holds, else 0.
+
+    Only words that the request says are taken out of a product, so that the others aren't shuffled.
+    """
     weights = said.join(kept(frequencies), ["request_id", "term"]).withColumn("weight", F.log(F.col("pool") / (1.0 + F.col("df"))))
-    holding = members.join(vocab, "parent_asin").select("request_id", "parent_asin", F.explode("terms").alias("term"))
-    return holding.join(weights, ["request_id", "term"]).groupBy("request_id", "parent_asin").agg(F.round(F.sum("weight"), 6).alias("score"))
+    asked = said.groupBy("request_id").agg(F.collect_set("term").alias("asked"))  # the words of one message
+    holding = members.join(asked, "request_id").join(vocab, "parent_asin").select("request_id", "parent_asin", F.explode(F.array_intersect("terms", "asked")).alias("term"))
+    scored = holding.join(weights, ["request_id", "term"]).groupBy("request_id", "parent_asin").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return members.join(scored, ["request_id", "parent_asin"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

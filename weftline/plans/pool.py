@@ -66,10 +66,15 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_idf_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that hold words of their request, ranked by the words' rarity within the pool."""
+    """All candidates of each request, ranked by the rarity within the pool of the request's words they hold.
+
+    A permutation of the pool: equal scores, those of 0 included, stay in incoming order, which is the best logged position,
+    null ones last, then the id. A request without words in its pool's vocabulary keeps that order.
+    """
     scored = vocabulary.idf_rerank(members(spark, sf_dir), meta_vocab(spark, sf_dir), said(spark, sf_dir), frequencies(spark, sf_dir))
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "parent_asin")
-    return scored.withColumn("rank", F.row_number().over(order))
+    incoming = table(spark, sf_dir, "candidates").groupBy("request_id", "parent_asin").agg(F.min("pool_pos").alias("incoming"))
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc_nulls_last("incoming"), "parent_asin")
+    return scored.join(incoming, ["request_id", "parent_asin"]).withColumn("rank", F.row_number().over(order)).drop("incoming")
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
