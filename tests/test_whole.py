@@ -3,6 +3,7 @@
 import math
 from datetime import datetime
 
+from weftline.operators import metrics
 from weftline.plans import dialogue, pool
 
 TURNS = "request_id bigint, session_id string, turn int, user_message string, received_at timestamp"
@@ -42,3 +43,12 @@ def test_rerank_is_a_permutation_of_every_pool(spark, tmp_path):
         got.setdefault(r.request_id, []).append((r.parent_asin, r.score))
     zeros = [(a, 0.0) for a, _ in spots]
     assert got == {1: [("A", round(math.log(3) + math.log(2), 6)), ("B", round(math.log(2), 6)), *[z for z in zeros if z[0] not in "AB"]], 2: zeros, 3: zeros}
+
+
+def test_rounds_of_the_reference(spark):
+    """10,000 rounds by default: a p below 0.001 can be told, and all rounds are counted."""
+    d = spark.createDataFrame([(i, 1.0) for i in range(40)], "k int, d double")
+    row = metrics.sign_flips(d, "k", "d").first()
+    assert row.rounds == 10_000 and row.p == round(1 / 10_001, 6)
+    values = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "k int, v double")
+    assert metrics.bootstrap(values, "k", "v").first() == metrics.bootstrap(values, "k", "v", 10_000).first() != metrics.bootstrap(values, "k", "v", 500).first()
