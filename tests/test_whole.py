@@ -3,6 +3,7 @@
 import math
 from datetime import datetime
 
+from weftline.llm import same_product
 from weftline.operators import metrics
 from weftline.plans import dialogue, pool
 
@@ -52,3 +53,15 @@ def test_rounds_of_the_reference(spark):
     assert row.rounds == 10_000 and row.p == round(1 / 10_001, 6)
     values = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "k int, v double")
     assert metrics.bootstrap(values, "k", "v").first() == metrics.bootstrap(values, "k", "v", 10_000).first() != metrics.bootstrap(values, "k", "v", 500).first()
+
+
+def test_a_third_of_all_rows_is_one_product(spark):
+    """A product with a third of all rows keeps its model words, as they are those of one brand only."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rest = [(f"X{b}{m}{k}", f"Brandon{b}x Mod{b}{m}en Qu{m}{b}or shirt premium red", [f"by Brandon{b}x"]) for b in letters for m in letters[:10] for k in (0, 1)]
+    hot = [(f"H{i:03}", "Zenix Tarlo Vimek shirt red" if i % 3 else "premium shirt red Tarlo Vimek", ["by Zenix"] if i % 3 else []) for i in range(260)]
+    items = spark.createDataFrame([(*r, None, None, "s") for r in rest + hot], "parent_asin string, title string, features array<string>, description array<string>, details map<string,string>, store string")
+    brands, common = same_product.roles(same_product.facts(items))
+    assert "zenix" in brands and {"shirt", "premium"} <= set(common) and not {"tarlo", "vimek"} & set(common)
+    clusters = {r.parent_asin: r["product"] for r in same_product.cluster(items).collect()}
+    assert len({clusters.get(a) for a, *_ in hot}) == 1 and None not in {clusters.get(a) for a, *_ in hot}

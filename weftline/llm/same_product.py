@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftline.operators.units import FACTORS, number, readings, unit_at
 from weftline.runtime import materialize, spread
 
-#: A token that more than this share of the listings shows is general language, unless it is a brand.
+#: A token that more than this share of the other brands' listings shows is general language, unless it is a brand.
 GENERAL = 0.004
 
+#: Announcements that make a word a brand; brands that a general word occurs with at least.
+ANNOUNCED, BRANDS = 2, 4
+
 #: Shades and what they are shades of.
 SHADES = {
     "black": "jet black", "white": "bright white", "navy": "navy blue", "red": "cherry red", "teal": "deep teal", "olive": "olive green",
@@ -142,11 +145,25 @@ def facts(listings: DataFrame) -> DataFrame:
 
 
 def roles(stated: DataFrame, general: float = GENERAL) -> tuple[list[str], list[str]]:
-    """Brands (words that listings announce as such) and general words. Both lists are bounded by the shares asked of their members."""
+    """Brands (words that listings announce as such, twice at least) and general words.
+
+    A word is general by the share of listings that show it outside the brand it occurs with most, over listings of known
+    brand, and by ``BRANDS`` different brands. So the words of a product stay, however many copies it has: all of them are
+    of one brand, or of none that can be seen. Where fewer brands are known at all, the share of all listings decides.
+    """
     n = stated.count()
-    least = max(2, general / 10 * n)
-    brands = [r["w"] for r in stated.filter(F.col("cued").isNotNull()).groupBy(F.col("cued").alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()]
+    brands = [r["w"] for r in stated.filter(F.col("cued").isNotNull()).groupBy(F.col("cued").alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") >= ANNOUNCED).collect()]
     common = stated.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") > general * n) & (F.col("n") > 7))
+    if len(brands) >= BRANDS:
+        known = F.array(*[F.lit(b) for b in brands]).cast("array<string>")
+        brand = F.coalesce(F.when(F.array_contains(known, F.col("cued")), F.col("cued")), F.get(F.array_intersect("words", known), F.lit(0)))
+        of_brand = stated.select(brand.alias("b"), "words").filter(F.col("b").isNotNull())
+        sizes = of_brand.groupBy("b").agg(F.count("*").alias("size"))
+        total = of_brand.count()
+        held = of_brand.select("b", F.explode("words").alias("w")).groupBy("w", "b").agg(F.count("*").alias("n")).join(sizes, "b")
+        spread_of = held.groupBy("w").agg(F.sum("n").alias("seen"), F.count("*").alias("brands"), F.max(F.struct("n", "size")).alias("top"))
+        outside = (F.col("seen") - F.col("top.n")) > general * (F.lit(total) - F.col("top.size"))
+        common = common.join(spread_of.filter(outside & (F.col("brands") >= BRANDS)).select("w"), "w", "left_semi")
     return sorted(brands), sorted({r["w"] for r in common.collect()} - set(brands))
 
 
@@ -217,7 +234,7 @@ def cluster(listings: DataFrame, general: float = GENERAL) -> DataFrame:
 
     Defined results: a listing whose title is null or names no model, and that shows no code, gets no row, since nothing
     identifies it; repeated rows give one; a colour, brand or measure left out is taken from the cluster if that has only
-    one, else the listing stands alone; words that more than the share ``general`` of listings show name no model; other columns aren't read; an empty table gives an empty one.
+    one, else the listing stands alone; words that more than the share ``general`` of other brands' listings show name no model; other columns aren't read; an empty table gives an empty one.
     """
     stated = materialize(facts(listings), "stated")
     brands, common = roles(stated, general)
