@@ -5,7 +5,7 @@ from datetime import datetime
 
 from weftline.llm import same_product
 from weftline.operators import metrics
-from weftline.plans import dialogue, pool
+from weftline.plans import dialogue, pool, quantities
 
 TURNS = "request_id bigint, session_id string, turn int, user_message string, received_at timestamp"
 CANDIDATES = "request_id bigint, session_id string, parent_asin string, pool_pos int, route_scores map<string,double>"
@@ -65,3 +65,18 @@ def test_a_third_of_all_rows_is_one_product(spark):
     assert "zenix" in brands and {"shirt", "premium"} <= set(common) and not {"tarlo", "vimek"} & set(common)
     clusters = {r.parent_asin: r["product"] for r in same_product.cluster(items).collect()}
     assert len({clusters.get(a) for a, *_ in hot}) == 1 and None not in {clusters.get(a) for a, *_ in hot}
+
+
+def test_units_of_prices(spark, tmp_path):
+    """Stated prices are converted, an unstated one is predicted or kept for review, an unusable one isn't a figure."""
+    items = [(f"A{i:03}", "euro" if i % 2 else "yen", ["Shoes"], None, 50.0 + i % 9 if i % 2 else 9000.0 + i % 9) for i in range(200)]
+    items += [("U", "none", ["Shoes"], None, 9004.0), ("V", None, None, {"Weight": "2 kg"}, 1.0), ("W", "euro", None, None, float("nan"))]
+    spark.createDataFrame(items, "parent_asin string, store string, categories array<string>, details map<string,string>, price double").write.parquet(f"{tmp_path}/catalog_items.parquet")
+    spark.createDataFrame([("euro", "EUR", None), ("yen", "JPY", "prices in minor units")], "store string, currency string, feed_note string").write.parquet(f"{tmp_path}/stores.parquet")
+    spark.createDataFrame([("EUR", 1.1), ("JPY", 0.007)], "currency string, usd_per_unit double").write.parquet(f"{tmp_path}/currency_rates.parquet")
+    got = {(r.parent_asin, r.quantity): r for r in quantities.p4_units(spark, str(tmp_path)).collect()}
+    assert {a for a, q in got if q == "price"} == {f"A{i:03}" for i in range(200)} | {"U", "V"} and got["V", "weight"].amount == 2000
+    assert (got["A001", "price"].unit, got["A001", "price"].amount) == ("EUR", 5610) and got["A000", "price"].unit == "JPY minor"
+    for a in "UV":
+        r = got[a, "price"]
+        assert r.source == "review" and r.unit is None and r.amount is None or r.source == "predicted" and r.amount is not None

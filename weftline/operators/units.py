@@ -298,20 +298,43 @@ def calibrated(vote, calibration):
     return F.element_at(steps, F.greatest(F.lit(1), at))
 
 
-def assign_units(items: DataFrame, stores: DataFrame, confident: float = CONFIDENT) -> DataFrame:
+def assign_units(items: DataFrame, stores: DataFrame, confident: float = CONFIDENT, rates: DataFrame | None = None) -> DataFrame:
     """Every figure with its unit, where that comes from, and the amount in the common unit.
 
     ``source`` is ``value`` (the unit stands in the value), ``checked`` (predicted, and stated by key, other entries or the
     store's note), ``corrected`` (predicted otherwise than stated; the statement holds), ``predicted`` (stated nowhere, but
     predicted with calibrated ``confidence`` of at least ``confident``) or ``review`` (amount null).
-    """
-    from pyspark.ml.functions import array_to_vector
 
+    With ``rates`` prices are figures too, of a forest of their own. Their unit is a currency, followed by "minor" for
+    hundredths; the amount is in US cents, null for a currency without a rate. No statement is among the features of a
+    price, so that the confidence of unstated ones is measured on rows like them.
+    """
     figures = measured(items).join(store_units(stores), "store_key", "left")
     note = F.when(F.col("dimension") == "mass", F.col("note_mass")).when(F.col("dimension") == "length", F.col("note_length"))
     hint = F.coalesce("in_key", "near", note)
     rows = figures.withColumn("hint", F.when(F.col("in_value").isNull(), hint)).withColumn("stated", F.coalesce("in_value", "hint"))
-    rows = materialize(rows.drop("note_mass", "note_length"), "figures")
+    both = decided(materialize(rows.drop("note_mass", "note_length"), "figures"), confident)
+    factor = F.lit(None).cast("double")
+    for dimension, units in FACTORS.items():
+        for unit, f in units.items():
+            factor = F.when((F.col("dimension") == dimension) & (F.col("unit") == unit), f).otherwise(factor)
+    out = both.withColumn("amount", F.floor(F.col("figure") * factor + 0.5).cast("bigint"))
+    if rates is None:
+        return out
+    stated = F.when(F.col("currency").isNotNull(), F.concat("currency", F.when(F.col("minor"), " minor").otherwise("")))
+    priced = price_figures(items, stores).select(
+        "parent_asin", "store_key", "category", F.lit("price").alias("quantity"), F.lit("currency").alias("dimension"), F.col("price").alias("figure"),
+        F.lit(None).cast("string").alias("in_value"), F.lit(None).cast("string").alias("hint"), stated.alias("stated"))
+    usd = rates.groupBy(F.col("currency").alias("named")).agg(F.max("usd_per_unit").alias("usd"))
+    money = decided(materialize(priced.distinct(), "prices"), confident).withColumn("named", F.substring_index("unit", " ", 1)).join(F.broadcast(usd), "named", "left")
+    cents = F.col("figure") * F.col("usd") * F.when(F.col("unit").endswith(" minor"), 1.0).otherwise(100.0)
+    return out.unionByName(money.withColumn("amount", F.floor(cents + 0.5).cast("bigint")).select(out.columns))
+
+
+def decided(rows: DataFrame, confident: float) -> DataFrame:
+    """``parent_asin, quantity, dimension, figure, unit, source, confidence`` of figures with what is stated of them."""
+    from pyspark.ml.functions import array_to_vector
+
     bare = rows.filter(F.col("in_value").isNull())
     model = train(rows)
     if model is None:
@@ -330,12 +353,7 @@ def assign_units(items: DataFrame, stores: DataFrame, confident: float = CONFIDE
     guessed = guessed.withColumn("unit", F.when(F.col("source") == "predicted", F.col("predicted")).otherwise(F.col("stated")))
     known = rows.filter(F.col("in_value").isNotNull()).withColumn("source", F.lit("value")).withColumn("unit", F.col("in_value")).withColumn("confidence", F.lit(1.0))
     columns = ["parent_asin", "quantity", "dimension", "figure", "unit", "source", "confidence"]
-    both = known.select(columns).unionByName(guessed.select(columns))
-    factor = F.lit(None).cast("double")
-    for dimension, units in FACTORS.items():
-        for unit, f in units.items():
-            factor = F.when((F.col("dimension") == dimension) & (F.col("unit") == unit), f).otherwise(factor)
-    return both.withColumn("amount", F.floor(F.col("figure") * factor + 0.5).cast("bigint"))
+    return known.select(columns).unionByName(guessed.select(columns))
 
 
 #: What details call currencies, and the words for hundredths.
@@ -347,11 +365,10 @@ MINOR_WORDS = r"\bcents?\b|cent$|pence|\bpenny\b|hundredths|minor unit|rappen|gr
 PRICE_KEYS = r"^(?:price (?:basis|note|currency|unit)|listed in|currency)$"
 
 
-def prices(items: DataFrame, stores: DataFrame, rates: DataFrame) -> DataFrame:
-    """``parent_asin, quantity, amount``: prices in US cents.
+def price_figures(items: DataFrame, stores: DataFrame) -> DataFrame:
+    """``parent_asin, store_key, category, price, currency, minor`` of prices that are finite and above zero; null currency where none is stated.
 
-    Currency and scale come from the details, both together, else from the store; a price that is null, NaN, zero or
-    negative, or of no known currency, gives no row.
+    Currency and scale come from the details, both together, else from the store.
     """
     notes = stores.select(store_key("store").alias("store_key"), F.upper(F.trim("currency")).alias("store_currency"),
                           F.coalesce(F.lower("feed_note").rlike(MINOR_WORDS), F.lit(False)).alias("store_minor"))
@@ -360,15 +377,23 @@ def prices(items: DataFrame, stores: DataFrame, rates: DataFrame) -> DataFrame:
     stated = F.lit(None).cast("string")
     for currency, words in reversed(CURRENCY_WORDS.items()):
         stated = F.when(F.lower("said").rlike(words), currency).otherwise(stated)
-    priced = (
+    return (
         items.filter(F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") > 0) & (F.col("price") < float("inf")))
-        .select("parent_asin", "price", store_key("store").alias("store_key"), said.alias("said"))
+        .select("parent_asin", "price", store_key("store").alias("store_key"), F.try_element_at("categories", F.lit(-1)).alias("category"), said.alias("said"))
         .withColumn("own", stated)
         .join(notes, "store_key", "left")
         .withColumn("currency", F.coalesce("own", "store_currency"))
         .withColumn("minor", F.when(F.col("own").isNotNull(), F.lower("said").rlike(MINOR_WORDS)).otherwise(F.coalesce("store_minor", F.lit(False))))
-        .join(rates.groupBy("currency").agg(F.max("usd_per_unit").alias("usd")), "currency")
-    )
+        .drop("said", "own", "store_currency", "store_minor"))
+
+
+def prices(items: DataFrame, stores: DataFrame, rates: DataFrame) -> DataFrame:
+    """``parent_asin, quantity, amount``: prices in US cents.
+
+    Currency and scale come from the details, both together, else from the store; a price that is null, NaN, zero or
+    negative, or of no known currency, gives no row.
+    """
+    priced = price_figures(items, stores).join(rates.groupBy("currency").agg(F.max("usd_per_unit").alias("usd")), "currency")
     cents = F.col("price") * F.col("usd") * F.when(F.col("minor"), 1.0).otherwise(100.0)
     return priced.select("parent_asin", F.lit("price").alias("quantity"), F.floor(cents + 0.5).cast("bigint").alias("amount")).distinct()
 

@@ -14,8 +14,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every figure with the unit assigned to it, its confidence, and those left for review."""
-    return units.assign_units(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "stores"))
+    """Every figure and price with the unit or currency assigned to it, its confidence, and those left for review."""
+    return units.assign_units(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "stores"), rates=table(spark, sf_dir, "currency_rates"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_units": p4_units}
