@@ -80,3 +80,14 @@ def test_units_of_prices(spark, tmp_path):
     for a in "UV":
         r = got[a, "price"]
         assert r.source == "review" and r.unit is None and r.amount is None or r.source == "predicted" and r.amount is not None
+
+
+def test_constraint_rank_of_every_candidate(spark, tmp_path):
+    """Candidates without a usable score are ranked by what they match; brand, budget and popularity count."""
+    candidates = [(1, "A", 1, {"bm25": 2.0}), (1, "B", 2, None), (1, "C", 3, {}), (1, "D", 4, {"bm25": float("nan")})]
+    meta = {"A": {"store": "Puma", "price": 90.0, "popularity": 4.0}, "B": {"store": "Nike Store", "price": 50.0}, "C": {"store": "", "price": 60.0, "popularity": 2.0}}
+    folder = write(spark, tmp_path, [(1, "nike under $50")], candidates, meta)
+    got = {r.parent_asin: (r.matched, r.violated, r.rank, r.score) for r in pool.constraint_rank(spark, folder).collect()}
+    prior = lambda share: 0.008 * share / 3
+    assert got == {"B": (2, 0, 1, round(0.4 + prior(1), 9)), "D": (0, 0, 2, round(prior(1), 9)), "C": (0, 1, 3, round(-0.1 + prior(0.5), 9)), "A": (0, 2, 4, round(round(1 / 61, 9) - 0.2 + prior(1), 9))}
+    assert [tuple(r) for r in dialogue.rank_sensitivity(spark, folder).collect()] == [(1, 1, 3)]

@@ -74,11 +74,14 @@ def sim_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per request how constraints change the fused ranking: items moved, and how many of the first ten are new."""
+    """Per request how constraints change the fused ranking: items moved, and how many of the first ten are new.
+
+    An item without a fused place can't move, but is new among the first ten.
+    """
     a = pool.rrf_fusion(spark, sf_dir).select("request_id", "parent_asin", "pool_pos")
     b = pool.constraint_rank(spark, sf_dir).select("request_id", "parent_asin", "rank")
-    both = a.join(b, ["request_id", "parent_asin"])
-    return both.groupBy("request_id").agg(F.count_if(F.col("pool_pos") != F.col("rank")).alias("moved"), F.count_if((F.col("rank") <= 10) & (F.col("pool_pos") > 10)).alias("entered"))
+    both = b.join(a, ["request_id", "parent_asin"], "left")
+    return both.groupBy("request_id").agg(F.count_if(F.col("pool_pos") != F.col("rank")).alias("moved"), F.count_if((F.col("rank") <= 10) & (F.coalesce("pool_pos", F.lit(11)) > 10)).alias("entered"))
 
 
 def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:

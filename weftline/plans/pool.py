@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions import extract
 from weftline.functions.text import empty, search_terms
-from weftline.operators import search, vocabulary
+from weftline.operators import catalog, search, vocabulary
 from weftline.plans.messages import COLOUR_LIST, MATERIAL_LIST, MESSAGES_SQL, SIZE_SQL, T_SQL, WORD_MAP, messages
 from weftline.runtime import table
 
@@ -139,13 +139,43 @@ def classify_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLOTS = ("category", "color", "material", "size")
 
 
+#: All slots that count for the ranking.
+SCORED = (*SLOTS, "brand", "budget")
+
+#: Fixed value: weight of the popularity prior.
+PRIOR = 0.008
+
+
+def scored_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all scored slots: those of ``classify_constraints``, the brand within the store's name, and inclusive budget bounds."""
+    m = F.col("user_message")
+    asked = messages(spark, sf_dir).select("request_id", extract.brand(m).alias("asked_brand"), extract.budget(m).alias("bounds"))
+    meta = table(spark, sf_dir, "catalog_meta").select(
+        "parent_asin", F.lower("store").alias("store"), F.when(~F.isnan("price"), F.col("price")).alias("price"), F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
+    rows = classify_constraints(spark, sf_dir).join(asked, "request_id").join(meta, "parent_asin", "left")
+    sold = F.coalesce(F.col("store") != "", F.lit(False))
+    brand = F.when(~sold, "unknown").when(F.contains("store", "asked_brand"), "match").otherwise("violation")
+    outside = F.coalesce(F.col("price") < F.col("bounds.least"), F.lit(False)) | F.coalesce(F.col("price") > F.col("bounds.most"), F.lit(False))
+    budget = F.when(F.col("price").isNull(), "unknown").when(outside, "violation").otherwise("match")
+    return rows.select("request_id", "parent_asin", *SLOTS, "popularity", F.when(F.col("asked_brand").isNotNull(), brand).alias("brand"),
+                       F.when(F.col("bounds").isNotNull(), budget).alias("budget"))
+
+
 def constraint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates ranked by fused score, constraint matches and violations. Verdicts are counted within the row, without a shuffle."""
-    count = lambda v: sum((F.when(F.col(s) == v, 1).otherwise(0) for s in SLOTS), F.lit(0))
-    asked = sum((F.col(s).isNotNull().cast("int") for s in SLOTS), F.lit(0))
-    v = classify_constraints(spark, sf_dir).withColumn("asked", asked).withColumn("matched", count("match")).withColumn("violated", count("violation"))
-    scored = rrf_fusion(spark, sf_dir).drop("pool_pos").join(v, ["request_id", "parent_asin"]).withColumn("score", F.round(
-        F.col("fusion_score") + F.when(F.col("asked") > 0, (0.4 * F.col("matched") - 0.2 * F.col("violated")) / F.col("asked")).otherwise(0.0), 9))
+    """All candidates ranked by fused score, constraint matches, violations and popularity. Verdicts are counted within the row, without a shuffle.
+
+    A candidate without a usable route score has a fused score of 0. The popularity prior, over the scale's maximum and the
+    median where unknown, fades with the number of constraints.
+    """
+    count = lambda v: sum((F.when(F.col(s) == v, 1).otherwise(0) for s in SCORED), F.lit(0))
+    asked = sum((F.col(s).isNotNull().cast("int") for s in SCORED), F.lit(0))
+    v = scored_constraints(spark, sf_dir).withColumn("asked", asked).withColumn("matched", count("match")).withColumn("violated", count("violation"))
+    meta = table(spark, sf_dir, "catalog_meta").select(F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
+    fused = v.join(rrf_fusion(spark, sf_dir).drop("pool_pos"), ["request_id", "parent_asin"], "left").withColumn("fusion_score", F.coalesce("fusion_score", F.lit(0.0)))
+    known = F.coalesce("popularity", "median", F.lit(0.5)) / F.coalesce("highest", F.lit(13.0))
+    prior = PRIOR * F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), known)), F.lit(0.0)) / (1 + F.col("asked"))
+    scored = fused.crossJoin(F.broadcast(catalog.popularity_scale(meta))).withColumn("score", F.round(  # one row
+        F.col("fusion_score") + F.when(F.col("asked") > 0, (0.4 * F.col("matched") - 0.2 * F.col("violated")) / F.col("asked")).otherwise(0.0) + prior, 9))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("fusion_score"), "parent_asin")
     return scored.withColumn("rank", F.row_number().over(order)).select("request_id", "parent_asin", "score", "matched", "violated", "rank")
 
