@@ -3,7 +3,7 @@
 import math
 from datetime import datetime
 
-from weftline.llm import same_product
+from weftline.llm import fused_ranking, same_product
 from weftline.operators import metrics
 from weftline.plans import dialogue, pool, quantities
 
@@ -91,3 +91,13 @@ def test_constraint_rank_of_every_candidate(spark, tmp_path):
     prior = lambda share: 0.008 * share / 3
     assert got == {"B": (2, 0, 1, round(0.4 + prior(1), 9)), "D": (0, 0, 2, round(prior(1), 9)), "C": (0, 1, 3, round(-0.1 + prior(0.5), 9)), "A": (0, 2, 4, round(round(1 / 61, 9) - 0.2 + prior(1), 9))}
     assert [tuple(r) for r in dialogue.rank_sensitivity(spark, folder).collect()] == [(1, 1, 3)]
+
+
+def test_flip_does_not_depend_on_the_number_of_rows(spark):
+    """Builds by correlation: weak in many rows isn't upside down, clear in few rows is."""
+    def logged(tag, n, weight):
+        return [(tag, True, weight * i / n + (1 - weight) * (i * 7919 % n) / n, i) for i in range(n)]
+
+    rows = logged("weak", 20_011, 0.05) + logged("clear", 41, 0.6)
+    ranked = spark.createDataFrame(rows, "build_tag string, h0 boolean, r0 double, pool_pos int")
+    assert fused_ranking.logged_signs(ranked, 2) == {"weak": [1, 1], "clear": [-1, 1]}

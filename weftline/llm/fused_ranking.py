@@ -19,6 +19,9 @@ from weftline.runtime import materialize
 #: Declared direction of each score: 1 where more is better. Scores not named are taken as 1.
 DIRECTIONS = {"bm25": 1, "category": 1, "attribute": 1, "dense": 1, "popularity": 1}
 
+#: Correlation of a build's ranks with the logged pool position from which the score counts as logged upside down, at any number of rows.
+UPSIDE_DOWN = 0.1
+
 #: Requests of more candidates than this are ranked by slices.
 LARGE = 200_000
 
@@ -43,7 +46,6 @@ def wide(candidates: DataFrame, meta: DataFrame, routes: list[str]) -> DataFrame
         *[finite(F.try_element_at("route_scores", F.lit(r))).alias(f"s{i}") for i, r in enumerate(routes)])
     return (
         raw.join(popularity, "parent_asin", "left")
-        .repartition("request_id")
         .groupBy("request_id", "parent_asin")
         .agg(F.max("build_tag").alias("build_tag"), F.min("pool_pos").alias("pool_pos"),
              *[F.max(f"s{i}").alias(f"s{i}") for i in range(len(routes))], F.max("popularity").alias(f"s{len(routes)}"))
@@ -98,7 +100,7 @@ def ranks(items: DataFrame, k: int, large: int = LARGE) -> DataFrame:
 
 
 def logged_signs(ranked: DataFrame, k: int) -> dict[str, list[int]]:
-    """Per build, whether it logs each score upside down: -1 where ranks rise with the logged pool position beyond chance.
+    """Per build, whether it logs each score upside down: -1 where ranks rise clearly with the logged pool position.
 
     One row per build comes back. A score that follows the position in the expected sense, or not clearly, keeps 1; the
     last column, popularity, isn't logged by builds.
@@ -107,11 +109,10 @@ def logged_signs(ranked: DataFrame, k: int) -> dict[str, list[int]]:
         return {}
     sums = ranked.groupBy("build_tag").agg(*[
         x for i in range(k - 1) for held in [F.col(f"h{i}")] for x in (
-            F.corr(F.when(held, F.col(f"r{i}")), F.when(held, F.col("pool_pos").cast("double"))).alias(f"c{i}"),
-            F.count_if(held).alias(f"n{i}"))])
+            F.corr(F.when(held, F.col(f"r{i}")), F.when(held, F.col("pool_pos").cast("double"))).alias(f"c{i}"),)])
     out = {}
     for row in sums.collect():
-        clear = [row[f"c{i}"] is not None and row[f"c{i}"] > 3 / np.sqrt(max(row[f"n{i}"], 1)) for i in range(k - 1)]
+        clear = [row[f"c{i}"] is not None and row[f"c{i}"] > UPSIDE_DOWN for i in range(k - 1)]
         out[row["build_tag"]] = [*[-1 if c else 1 for c in clear], 1]
     return out
 
