@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,16 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) is a local one made."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder is made if all of Spark runs in one process; on a cluster executors could not read
+    each other's files there, so an error is raised instead.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="weftline-")
@@ -35,13 +42,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a compressed columnar table into the shared folder and read it again.
 
     Cuts the lineage like ``checkpoint()``, but keeps columns separate, so that each later branch reads only what it
-    needs. The table survives the loss of any executor. It is removed when the driver ends.
+    needs. The table survives the loss of any executor. It is removed by ``release``, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weftline_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "weftline_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
