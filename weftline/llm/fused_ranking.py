@@ -4,8 +4,8 @@ Each score is replaced by its mid-rank within the request, scaled to (0, 1), so
 outliers matter. A distributed correlation matrix of the ranks gives the first principal component; its loadings take the
 signs of the declared directions, and items are sorted by their projection.
 
-Groups of ordinary size are ranked by windows over one partitioning by request. Requests beyond ``LARGE`` candidates are
-ranked by slices (``operators.prefix.mid_ranks``), which gives the same ranks without gathering a request in one task.
+Ranks and final positions are taken by slices of a request's values (``operators.prefix``), so that no request, however
+large, is gathered in one task; how many slices a request has follows from its size.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.operators.prefix import mid_ranks
-from weftline.runtime import materialize
+from weftline.operators.prefix import ROWS, number_rows, slice_large, slice_offsets
+from weftline.runtime import materialize, release
 
 #: Declared direction of each score: 1 where more is better. Scores not named are taken as 1.
 DIRECTIONS = {"bm25": 1, "category": 1, "attribute": 1, "dense": 1, "popularity": 1}
@@ -22,9 +22,6 @@ DIRECTIONS = {"bm25": 1, "category": 1, "attribute": 1, "dense": 1, "popularity"
 #: Correlation of a build's ranks with the logged pool position from which the score counts as logged upside down, at any number of rows.
 UPSIDE_DOWN = 0.1
 
-#: Requests of more candidates than this are ranked by slices.
-LARGE = 200_000
-
 
 def score_names(candidates: DataFrame) -> list[str]:
     """Names of the routes that logged any score; there are a few."""
@@ -52,51 +49,36 @@ def wide(candidates: DataFrame, meta: DataFrame, routes: list[str]) -> DataFrame
     )
 
 
-def rank_small(items: DataFrame, k: int) -> DataFrame:
-    """Mid-ranks by windows. Columns ``r0..``: (rows below + half the ties) / rows, absent scores tied below all others; ``a0..``: share absent."""
-    whole = Window.partitionBy("request_id")
-    n = items.withColumn("n", F.count("*").over(whole))
-    for i in range(k):
-        n = n.withColumn(f"a{i}", 1 - F.count(f"s{i}").over(whole) / F.col("n"))
-    for i in range(k):
-        order = whole.orderBy(F.asc_nulls_first(f"s{i}"))
-        n = n.withColumn(f"r{i}", ((F.rank().over(order) - 1) / F.col("n") + F.cume_dist().over(order)) / 2)
-    return n
-
-
-def rank_large(items: DataFrame, k: int, slices: int = 64) -> DataFrame:
-    """The same columns by slices, for requests of any size."""
-    scores = F.array(*[F.struct(F.lit(i).alias("key"), F.col(f"s{i}").alias("score")) for i in range(k)])
-    long = items.select("request_id", "parent_asin", F.inline(scores))
-    ranks = mid_ranks(long.filter(F.col("score").isNotNull()), "request_id", "key", "score", slices)
-    sizes = items.groupBy("request_id").agg(F.count("*").alias("n"))
-    ranked = (
-        long.join(ranks, ["request_id", "key", "score"], "left")
-        .join(sizes, "request_id")
-        .withColumn("total", F.coalesce("total", F.lit(0)))
-    )
-    # A score absent from a row has no total of its own; it is taken from the request's other rows below.
-    totals = ranks.groupBy("request_id", "key").agg(F.max("total").alias("held"))
-    ranked = ranked.join(totals, ["request_id", "key"], "left").withColumn("absent", F.col("n") - F.coalesce("held", F.lit(0)))
-    mid = F.when(F.col("score").isNull(), F.col("absent") / 2).otherwise(F.col("absent") + F.col("below") + F.col("ties") / 2) / F.col("n")
-    back = ranked.groupBy("request_id", "parent_asin").agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("key") == i, F.col("absent") / F.col("n"))).alias(f"a{i}") for i in range(k)],
-        *[F.max(F.when(F.col("key") == i, mid)).alias(f"r{i}") for i in range(k)])
-    return items.join(back, ["request_id", "parent_asin"])
-
-
-def ranks(items: DataFrame, k: int, large: int = LARGE) -> DataFrame:
-    """Rank-transformed scores of all requests, written to the shared folder; columns ``request_id, parent_asin, build_tag, pool_pos, s*, r*, a*``."""
-    sizes = items.groupBy("request_id").agg(F.count("*").alias("n")).filter(F.col("n") > large)
-    hot = [r["request_id"] for r in sizes.collect()]  # fewer than rows / large
-    is_hot = F.coalesce(F.col("request_id").isin(hot), F.lit(False)) if hot else F.lit(False)
-    columns = ["request_id", "parent_asin", "build_tag", "pool_pos", *[F.col(f"s{i}").isNotNull().alias(f"h{i}") for i in range(k)],
-               *[f"r{i}" for i in range(k)], *[f"a{i}" for i in range(k)]]
-    out = rank_small(items.filter(~is_hot) if hot else items, k).select(*columns)
-    if hot:
-        out = out.unionByName(rank_large(items.filter(is_hot), k).select(*columns))
-    return materialize(out, "ranks")
+def ranks(items: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
+    """Rank-transformed scores of all requests, written to the shared folder: ``request_id, parent_asin, build_tag, pool_pos, n, h*, r*, a*``.
+
+    ``r`` is the mid-rank, (rows below + half the ties) / rows, absent scores tied below all others; ``a`` the share absent,
+    ``h`` whether the score is there. Scores are ranked in rows of their own, by slices of a request's values: one for a
+    request of at most ``rows`` candidates, and as many as its size asks for beyond that.
+    """
+    items = materialize(items, "items")
+    sizes = items.groupBy("request_id").agg(F.count("*").alias("n"), *[F.count(f"s{i}").alias(f"p{i}") for i in range(k)])
+    sized = items.join(sizes.withColumnRenamed("request_id", "of"), F.col("request_id").eqNullSafe(F.col("of"))).drop("of")
+    scores = F.filter(F.array(*[F.struct(F.lit(i).cast("byte").alias("key"), F.col(f"s{i}").alias("score")) for i in range(k)]), lambda x: x["score"].isNotNull())
+    long = slice_large(sized.select("request_id", "parent_asin", "n", F.inline(scores)), "request_id", "key", "score", "n", rows)
+    inside = Window.partitionBy("request_id", "key", "slice").orderBy("score")
+    local = (F.rank().over(inside) - 1 + F.count("*").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
+    offsets = slice_offsets(long, "request_id", "key", "n", rows).drop("total")
+    ranked = long.select("request_id", "parent_asin", "key", "slice", local.alias("local")).join(offsets, ["request_id", "key", "slice"], "left")
+    ranked = ranked.select("request_id", "parent_asin", F.struct("key", (F.col("local") + F.coalesce("offset", F.lit(0))).alias("below")).alias("at"))
+    whole = sized.select("request_id", "parent_asin", F.struct("build_tag", "pool_pos", "n", *[f"p{i}" for i in range(k)]).alias("whole"))
+    both = ranked.select("request_id", "parent_asin", "at", F.lit(None).cast(whole.schema["whole"].dataType).alias("whole")).unionByName(
+        whole.select("request_id", "parent_asin", F.lit(None).cast(ranked.schema["at"].dataType).alias("at"), "whole"))
+    wide_ = both.groupBy("request_id", "parent_asin").agg(
+        F.max("whole").alias("whole"), *[F.max(F.when(F.col("at.key") == i, F.col("at.below"))).alias(f"b{i}") for i in range(k)])
+    n = F.col("whole.n")
+    absent = lambda i: n - F.col(f"whole.p{i}")
+    out = wide_.select(
+        "request_id", "parent_asin", "whole.build_tag", "whole.pool_pos", "whole.n", *[F.col(f"b{i}").isNotNull().alias(f"h{i}") for i in range(k)],
+        *[(F.coalesce(absent(i) + F.col(f"b{i}"), absent(i) / 2) / n).alias(f"r{i}") for i in range(k)], *[(absent(i) / n).alias(f"a{i}") for i in range(k)])
+    out = materialize(out, "ranks")
+    release(items)
+    return out
 
 
 def logged_signs(ranked: DataFrame, k: int) -> dict[str, list[int]]:
@@ -156,12 +138,12 @@ def first_component(x: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return mean, np.where(live, sd, 1.0), loadings
 
 
-def fuse(candidates: DataFrame, meta: DataFrame, directions: dict[str, int] | None = None, large: int = LARGE) -> tuple[DataFrame, list[dict]]:
+def fuse(candidates: DataFrame, meta: DataFrame, directions: dict[str, int] | None = None, large: int = ROWS) -> tuple[DataFrame, list[dict]]:
     """``request_id, parent_asin, score, rank`` of every candidate, and what was learned of each score.
 
     Defined results: a score that is null, NaN, infinite or not logged is absent and ranks below all present ones of its
     request, tied; a score absent from a whole request is a tie and says nothing; equal projections are ranked by
-    ``parent_asin``; repeated rows give one; an empty table gives an empty ranking.
+    ``parent_asin``; repeated rows give one; an empty table gives an empty ranking. ``large`` is the number of candidates in a slice.
     """
     directions = DIRECTIONS if directions is None else directions
     routes = score_names(candidates)
@@ -176,20 +158,4 @@ def fuse(candidates: DataFrame, meta: DataFrame, directions: dict[str, int] | No
     scored = x.select("request_id", "parent_asin", F.round(score, 9).alias("score"))
     learned = [{"score": n, "direction": declared[i], "loading": float(loadings[i] * declared[i]),
                 "upside_down": sorted(str(t) for t, s in signs.items() if s[i] < 0)} for i, n in enumerate(names)]
-    return positions(scored, large), learned
-
-
-def positions(scored: DataFrame, large: int = LARGE) -> DataFrame:
-    """Number the items of each request by falling score, then ``parent_asin``."""
-    sizes = scored.groupBy("request_id").agg(F.count("*").alias("n")).filter(F.col("n") > large)
-    hot = [r["request_id"] for r in sizes.collect()]  # fewer than rows / large
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "parent_asin")
-    if not hot:
-        return scored.withColumn("rank", F.row_number().over(order))
-    is_hot = F.coalesce(F.col("request_id").isin(hot), F.lit(False))
-    some = scored.filter(is_hot).withColumn("key", F.lit(0)).withColumn("falling", -F.col("score"))
-    below = mid_ranks(some, "request_id", "key", "falling").select("request_id", "falling", "below")
-    tied = Window.partitionBy("request_id", "falling").orderBy("parent_asin")
-    large_ones = some.join(below, ["request_id", "falling"]).withColumn("rank", (F.col("below") + F.row_number().over(tied)).cast("int"))
-    small_ones = scored.filter(~is_hot).withColumn("rank", F.row_number().over(order))
-    return small_ones.unionByName(large_ones.select("request_id", "parent_asin", "score", "rank"))
+    return number_rows(scored, "request_id", "score", ["parent_asin"], "rank", large), learned
