@@ -55,3 +55,23 @@ def test_forest_predicts_and_reviews(spark):
     got = {r.parent_asin: r for r in units.assign_units(spark.createDataFrame(items, ITEMS), stores).filter("source in ('predicted', 'review')").collect()}
     right = [got[f"B{i}"].source == "predicted" and got[f"B{i}"].unit == "g" for i in range(20)]
     assert sum(right) >= 18 and all(r.amount is None for r in got.values() if r.source == "review")
+
+
+def test_found_amounts_come_through_the_forest(spark, monkeypatch):
+    """Without a model no unit is assigned to a figure that has none in its value; with one, statements check its predictions."""
+    items = [(f"A{i}", "u", ["Shoes"], {"Weight": f"{200 + i % 700} g" if i % 2 else f"{0.2 + i % 70 / 100:.2f} kg"}, None, None) for i in range(400)]
+    items += [(f"B{i}", "u", ["Shoes"], {"Weight (g)": str(300 + i)}, None, None) for i in range(20)] + [("C", "u", ["Shoes"], {"Weight (oz)": "10"}, None, None)]
+    stores = [("u", None, None)]
+    found = rows(spark, items, stores)
+    assert {("B3", "weight", 303), ("C", "weight", 283)} <= found and len(found) == 421
+    assigned = {r.parent_asin: r.source for r in units.assign_units(spark.createDataFrame(items, ITEMS), spark.createDataFrame(stores, "store string, currency string, feed_note string")).collect()}
+    assert assigned["B3"] == "agreed" and assigned["C"] == "disputed"
+    monkeypatch.setattr(units, "train", lambda *a, **k: None)
+    assert rows(spark, items, stores) == {r for r in found if r[0].startswith("A")}
+
+
+def test_masked_accuracy_on_unseen_stores(spark):
+    items = [(f"A{i}", f"shop {i % 40}", ["Shoes"], {"Weight" + ("" if i % 3 else " (g)"): f"{200 + i % 700}" + (" g" if i % 3 else "")} if i % 2 else {"Weight": f"{0.2 + i % 70 / 100:.2f} kg"}, None, None) for i in range(800)]
+    stores = spark.createDataFrame([("x", None, None)], "store string, currency string, feed_note string")
+    got = units.masked_accuracy(spark.createDataFrame(items, ITEMS), stores).collect()
+    assert [r.unit for r in got] == ["mass g"] and got[0].covered >= 0.9 * got[0]["rows"] and got[0].right == got[0].covered

@@ -2,9 +2,9 @@
 
 Every listing's details are read for quantities of the item itself. A figure's unit may stand in the value, in its key, in
 another entry that states the units of the whole record, or in the store's note about its feed; where it stands nowhere it
-has to be guessed. A calibrated random forest predicts the unit of every figure without one from its magnitude, the
-source, the category and the neighbouring fields. Confident predictions are converted, the others are kept for review,
-and wherever the record does state a unit, that statement checks the prediction and overrules it.
+has to be guessed. A calibrated random forest predicts the unit of every figure without one in its value from its
+magnitude, the source, the category and the neighbouring fields. Confident predictions are converted, the others are kept
+for review, and wherever the record or its store does state a unit, that statement is the exact check of the prediction.
 """
 
 from __future__ import annotations
@@ -227,34 +227,41 @@ def store_units(stores: DataFrame) -> DataFrame:
 #: Bound on the labelled rows the classifier is fitted on, taken in the order of a hash.
 SAMPLE = 20_000
 
-#: Calibrated probability from which a predicted unit is converted.
-CONFIDENT = 0.95
+#: Calibrated probability from which a predicted unit is converted, and share of the vote from which a unit counts as possible.
+CONFIDENT, POSSIBLE = 0.95, 0.02
+
+#: Share of stores, in 64ths, whose listings are held out of the fit, for the calibration.
+HELD = 16
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Numbers the forest splits on: magnitude, decimals, quantity, category, source, and what neighbouring fields say."""
+    """Numbers the forest splits on: magnitude, decimals, quantity, category, source, and what neighbouring fields say.
+
+    Whatever states the unit of the figure itself is not among them: units are read from other figures of the record only.
+    """
     def code(column: str, names: list[str]):
         out = F.lit(0)
         for i, n in enumerate(names, 1):
             out = F.when(F.col(column) == n, i).otherwise(out)
         return out.cast("double")
 
-    units = sorted({u for d in FACTORS.values() for u in d})
     magnitude = F.log10(F.greatest(F.col("figure"), F.lit(1e-6)))
+    places = F.length(F.regexp_extract(F.format_number("figure", 4), r"\.(\d*?)0*$", 1)).cast("double")
     return rows.select(
         "*", F.array(
-            magnitude, F.round(magnitude) - magnitude, F.when(F.col("figure") == F.floor("figure"), 0.0).otherwise(1.0),
-            code("quantity", sorted(KEYS)), *[F.when(F.col("hint") == u, 1.0).otherwise(0.0) for u in units],
+            magnitude, F.round(magnitude) - magnitude, places, code("quantity", [*sorted(KEYS), "price"]),
+            F.coalesce(F.col("metric"), F.lit(0)).cast("double"), F.coalesce(F.col("imperial"), F.lit(0)).cast("double"), F.coalesce("beside", F.lit(-9.0)),
             (F.pmod(F.xxhash64("category"), F.lit(64))).cast("double"), (F.pmod(F.xxhash64("store_key"), F.lit(64))).cast("double"),
         ).alias("x"))
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 10, seed: int = 7):
+def train(rows: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 12, seed: int = 7):
     """A random forest for the unit, and an isotonic regression from its highest vote to the share of right answers.
 
-    Fitted on at most ``sample`` labelled rows; a quarter of them is held out for the calibration. None where fewer than
-    two units are labelled. Labels are the stated units. A unit stated by key, other entries or the store's note appears among
-    the features, as it does for the rows to predict; one stated in the value doesn't, so that magnitude is learnt.
+    Fitted on at most ``sample`` labelled rows. Labels are stated units, masked: nothing that states them is a feature. The
+    listings of a quarter of the stores are held out for the calibration, with all that have no store and fall in the same
+    part of a hash; single listings instead where that part is under 5 or over 60 % of the rows. Where too few are left, all are fitted and nothing is calibrated, so that no prediction counts as sure; a
+    single unit is predicted throughout. None where nothing is labelled, and so nothing stated.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
@@ -262,11 +269,16 @@ def train(rows: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 1
     from pyspark.ml.regression import IsotonicRegression
 
     labelled = rows.filter(F.col("stated").isNotNull()).orderBy(F.xxhash64("parent_asin", "quantity", "figure"), "parent_asin", "quantity", "figure").limit(sample)
-    labelled = materialize(features(labelled).select(
-        F.concat_ws(" ", "dimension", "stated").alias("unit"), "x", (F.pmod(F.xxhash64("parent_asin"), F.lit(4)) == 0).alias("held")), "labelled")
-    units = [r["unit"] for r in labelled.filter(~F.col("held")).select("unit").distinct().collect()]  # a unit per row at most
+    held, of_listing = (F.pmod(F.xxhash64(c), F.lit(64)) < HELD for c in (F.coalesce("store_key", "parent_asin"), F.col("parent_asin")))
+    labelled = materialize(features(labelled).select(F.concat_ws(" ", "dimension", "stated").alias("unit"), "x", held.alias("held"), of_listing.alias("of_listing")), "labelled")
+    share = labelled.agg(F.avg(F.col("held").cast("double"))).first()[0]
+    if share is not None and not 0.05 < share < 0.6:  # a few stores hold nearly all: listings are held out instead
+        labelled = labelled.withColumn("held", F.col("of_listing"))
+    units = sorted(r["unit"] for r in labelled.select("unit").distinct().collect())  # units of the tables above, or currencies
     if len(units) < 2:
-        return None
+        return (None, units, None) if units else None
+    if labelled.filter(~F.col("held")).select("unit").distinct().count() < 2:
+        labelled = labelled.withColumn("held", F.lit(False))
     labels = StringIndexer(inputCol="unit", outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(labelled.filter(~F.col("held")))
     data = labels.transform(labelled).withColumn("features", array_to_vector("x"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, subsamplingRate=0.7).fit(data.filter(~F.col("held")))
@@ -277,15 +289,19 @@ def train(rows: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 1
 
 
 def predict_units(rows: DataFrame, forest, units: list[str]) -> DataFrame:
-    """Add ``guess`` ("dimension unit") and its share of the vote."""
+    """Add the row's ``votes`` by unit ("dimension unit"), and of the first among those of its dimension: ``guess`` and ``vote``."""
     from pyspark.ml.functions import vector_to_array
 
-    votes = vector_to_array(F.col("probability"))
+    names = F.array(*[F.lit(u) for u in units])
+    probability = F.array(F.lit(1.0)) if forest is None else vector_to_array(F.col("probability"))
+    votes = F.arrays_zip(probability.alias("vote"), names.alias("unit"))
+    own = F.filter(votes, lambda v: v["unit"].startswith(F.concat(F.col("dimension"), F.lit(" "))))
+    best = F.array_max(own)
+    rows = rows if "dimension" in rows.columns else rows.withColumn("dimension", F.substring_index("unit", " ", 1))
     return (
-        forest.transform(rows).withColumn("votes", votes).withColumn("vote", F.array_max("votes"))
-        .withColumn("guess", F.element_at(F.array(*[F.lit(u) for u in units]), F.array_position("votes", F.col("vote")).cast("int")))
-        .drop("rawPrediction", "probability", "prediction", "votes")
-    )
+        (rows if forest is None else forest.transform(rows))
+        .withColumn("votes", own).withColumn("vote", F.coalesce(best["vote"], F.lit(0.0))).withColumn("guess", best["unit"])
+        .drop("rawPrediction", "probability", "prediction"))
 
 
 def calibrated(vote, calibration):
@@ -298,22 +314,43 @@ def calibrated(vote, calibration):
     return F.element_at(steps, F.greatest(F.lit(1), at))
 
 
+#: Dimensions of the systems a unit belongs to, for the neighbours of a figure.
+METRIC, IMPERIAL = ("g", "kg", "mg", "mm", "cm", "m", "ml", "cl", "l"), ("oz", "lb", "dwt", "in", "ft", "gal", "cu in", "cu ft")
+
+
+def with_neighbours(figures: DataFrame) -> DataFrame:
+    """Add what the other figures of a listing say: how many carry a metric or an imperial unit in their value, and the magnitude beside it.
+
+    A listing's figures are those of one record.
+    """
+    mine = F.struct("quantity", "figure")
+    other = figures.select("parent_asin", mine.alias("other"), F.col("in_value").isin(*METRIC).cast("int").alias("m"), F.col("in_value").isin(*IMPERIAL).cast("int").alias("i"))
+    record = other.groupBy("parent_asin").agg(F.collect_list(F.struct("other", "m", "i")).alias("record"))
+    rest = F.filter("record", lambda o: o["other"] != F.struct(F.col("quantity"), F.col("figure")))
+    joined = figures.join(record, "parent_asin")
+    total = lambda name: F.aggregate(F.transform(rest, lambda o: F.coalesce(o[name], F.lit(0))), F.lit(0), lambda a, x: a + x)
+    return joined.withColumn("metric", total("m")).withColumn("imperial", total("i")).withColumn(
+        "beside", F.log10(F.greatest(F.array_max(F.transform(rest, lambda o: o["other"]["figure"])), F.lit(1e-6)))).drop("record")
+
+
 def assign_units(items: DataFrame, stores: DataFrame, confident: float = CONFIDENT, rates: DataFrame | None = None) -> DataFrame:
     """Every figure with its unit, where that comes from, and the amount in the common unit.
 
-    ``source`` is ``value`` (the unit stands in the value), ``checked`` (predicted, and stated by key, other entries or the
-    store's note), ``corrected`` (predicted otherwise than stated; the statement holds), ``predicted`` (stated nowhere, but
-    predicted with calibrated ``confidence`` of at least ``confident``) or ``review`` (amount null).
+    ``source`` is ``value`` where the unit stands in the value itself, so that none is missing. All other units come from the
+    forest. Where the record or its store states one (by key, other entries or note), the statement is an exact check of the
+    prediction: ``agreed`` (the first choice, with calibrated ``confidence`` of at least ``confident``), ``supported`` (among
+    the units the forest finds possible) or ``disputed`` (the forest finds it impossible; the statement holds by rule, and the
+    rows say how often it had to). Where nothing is stated: ``predicted`` with at least ``confident``, or ``review`` (amount
+    null). Without a model every figure without a unit in its value is left for ``review``.
 
     With ``rates`` prices are figures too, of a forest of their own. Their unit is a currency, followed by "minor" for
-    hundredths; the amount is in US cents, null for a currency without a rate. No statement is among the features of a
-    price, so that the confidence of unstated ones is measured on rows like them.
+    hundredths; the amount is in US cents, null for a currency without a rate.
     """
     figures = measured(items).join(store_units(stores), "store_key", "left")
     note = F.when(F.col("dimension") == "mass", F.col("note_mass")).when(F.col("dimension") == "length", F.col("note_length"))
     hint = F.coalesce("in_key", "near", note)
     rows = figures.withColumn("hint", F.when(F.col("in_value").isNull(), hint)).withColumn("stated", F.coalesce("in_value", "hint"))
-    both = decided(materialize(rows.drop("note_mass", "note_length"), "figures"), confident)
+    both = decided(materialize(with_neighbours(rows.drop("note_mass", "note_length")), "figures"), confident)
     factor = F.lit(None).cast("double")
     for dimension, units in FACTORS.items():
         for unit, f in units.items():
@@ -322,40 +359,64 @@ def assign_units(items: DataFrame, stores: DataFrame, confident: float = CONFIDE
     if rates is None:
         return out
     stated = F.when(F.col("currency").isNotNull(), F.concat("currency", F.when(F.col("minor"), " minor").otherwise("")))
+    none = F.lit(None).cast("string")
     priced = price_figures(items, stores).select(
         "parent_asin", "store_key", "category", F.lit("price").alias("quantity"), F.lit("currency").alias("dimension"), F.col("price").alias("figure"),
-        F.lit(None).cast("string").alias("in_value"), F.lit(None).cast("string").alias("hint"), stated.alias("stated"))
+        none.alias("in_value"), none.alias("hint"), stated.alias("stated"), F.lit(0).alias("metric"), F.lit(0).alias("imperial"), F.lit(None).cast("double").alias("beside"))
     usd = rates.groupBy(F.col("currency").alias("named")).agg(F.max("usd_per_unit").alias("usd"))
-    money = decided(materialize(priced.distinct(), "prices"), confident).withColumn("named", F.substring_index("unit", " ", 1)).join(F.broadcast(usd), "named", "left")
+    money = decided(materialize(priced.distinct(), "prices"), confident).withColumn("named", F.substring_index("unit", " ", 1)).join(usd, "named", "left")
     cents = F.col("figure") * F.col("usd") * F.when(F.col("unit").endswith(" minor"), 1.0).otherwise(100.0)
     return out.unionByName(money.withColumn("amount", F.floor(cents + 0.5).cast("bigint")).select(out.columns))
 
 
 def decided(rows: DataFrame, confident: float) -> DataFrame:
-    """``parent_asin, quantity, dimension, figure, unit, source, confidence`` of figures with what is stated of them."""
+    """``parent_asin, quantity, dimension, figure, unit, predicted, source, confidence`` of figures with what is stated of them."""
     from pyspark.ml.functions import array_to_vector
 
     bare = rows.filter(F.col("in_value").isNull())
     model = train(rows)
+    columns = ["parent_asin", "quantity", "dimension", "figure", "unit", "predicted", "source", "confidence"]
     if model is None:
-        guessed = bare.withColumn("guess", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.0))
+        guessed = bare.withColumn("predicted", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.0)).withColumn("source", F.lit("review"))
+        guessed = guessed.withColumn("unit", F.lit(None).cast("string"))
     else:
         forest, units, calibration = model
         guessed = predict_units(features(bare).withColumn("features", array_to_vector("x")), forest, units)
-        guessed = guessed.withColumn("confidence", calibrated(F.col("vote"), calibration)).drop("features", "x", "vote")
-    own = F.substring_index("guess", " ", 1) == F.col("dimension")
-    guess = F.when(own, F.expr("substring(guess, length(dimension) + 2)"))
-    guessed = guessed.withColumn("predicted", guess).withColumn(
-        "source",
-        F.when(F.col("stated").isNotNull() & F.col("predicted").eqNullSafe(F.col("stated")), "checked")
-        .when(F.col("stated").isNotNull(), "corrected")
-        .when(F.col("predicted").isNotNull() & (F.col("confidence") >= confident), "predicted").otherwise("review"))
-    guessed = guessed.withColumn("unit", F.when(F.col("source") == "predicted", F.col("predicted")).otherwise(F.col("stated")))
-    known = rows.filter(F.col("in_value").isNotNull()).withColumn("source", F.lit("value")).withColumn("unit", F.col("in_value")).withColumn("confidence", F.lit(1.0))
-    columns = ["parent_asin", "quantity", "dimension", "figure", "unit", "source", "confidence"]
+        guessed = guessed.withColumn("confidence", calibrated(F.col("vote"), calibration)).withColumn("predicted", F.expr("substring(guess, length(dimension) + 2)"))
+        sure = F.col("predicted").isNotNull() & (F.col("confidence") >= confident)
+        possible = F.exists("votes", lambda v: (v["vote"] >= POSSIBLE) & (v["unit"] == F.concat_ws(" ", "dimension", "stated")))
+        guessed = guessed.withColumn(
+            "source",
+            F.when(F.col("stated").isNull(), F.when(sure, "predicted").otherwise("review"))
+            .when(sure & (F.col("predicted") == F.col("stated")), "agreed").when(possible, "supported").otherwise("disputed"))
+        guessed = guessed.withColumn("unit", F.when(F.col("source") == "predicted", F.col("predicted")).otherwise(F.col("stated"))).drop("features", "x", "vote", "votes", "guess")
+    known = rows.filter(F.col("in_value").isNotNull()).withColumn("source", F.lit("value")).withColumn("unit", F.col("in_value"))
+    known = known.withColumn("predicted", F.lit(None).cast("string")).withColumn("confidence", F.lit(1.0))
     return known.select(columns).unionByName(guessed.select(columns))
 
 
+def masked_accuracy(items: DataFrame, stores: DataFrame, confident: float = CONFIDENT) -> DataFrame:
+    """``unit, rows, covered, right``: bare figures of stores the forest has not seen whose unit is stated, and what it says of them.
+
+    The statement is masked; ``covered`` are the figures with calibrated confidence of at least ``confident``, ``right`` those
+    of them with the stated unit. The calibration is fitted on half of the held-out stores and judged on the other half.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    figures = measured(items).join(store_units(stores), "store_key", "left")
+    note = F.when(F.col("dimension") == "mass", F.col("note_mass")).when(F.col("dimension") == "length", F.col("note_length"))
+    rows = materialize(with_neighbours(figures.withColumn("stated", F.coalesce("in_value", "in_key", "near", note)).drop("note_mass", "note_length")), "figures")
+    part = F.pmod(F.xxhash64(F.coalesce("store_key", "parent_asin")), F.lit(64))
+    model = train(rows.filter(part >= HELD // 2))
+    if model is None:
+        return rows.limit(0).select(F.col("stated").alias("unit"), F.lit(0).alias("rows"), F.lit(0).alias("covered"), F.lit(0).alias("right"))
+    forest, units, calibration = model
+    unseen = rows.filter((part < HELD // 2) & F.col("in_value").isNull() & F.col("stated").isNotNull())
+    judged = predict_units(features(unseen).withColumn("features", array_to_vector("x")), forest, units).withColumn("confidence", calibrated(F.col("vote"), calibration))
+    unit, sure = F.concat_ws(" ", "dimension", "stated"), F.col("confidence") >= confident
+    return judged.groupBy(unit.alias("unit")).agg(F.count("*").alias("rows"), F.count_if(sure).alias("covered"), F.count_if(sure & (F.col("guess") == unit)).alias("right"))
+
+
 #: What details call currencies, and the words for hundredths.
 CURRENCY_WORDS = {
     "EUR": r"\beur|€", "GBP": r"\bgbp\b|pence|sterling|british|£", "CAD": r"\bcad\b|canad", "JPY": r"\bjpy\b|\byen\b|¥",
@@ -387,22 +448,13 @@ def price_figures(items: DataFrame, stores: DataFrame) -> DataFrame:
         .drop("said", "own", "store_currency", "store_minor"))
 
 
-def prices(items: DataFrame, stores: DataFrame, rates: DataFrame) -> DataFrame:
-    """``parent_asin, quantity, amount``: prices in US cents.
-
-    Currency and scale come from the details, both together, else from the store; a price that is null, NaN, zero or
-    negative, or of no known currency, gives no row.
-    """
-    priced = price_figures(items, stores).join(rates.groupBy("currency").agg(F.max("usd_per_unit").alias("usd")), "currency")
-    cents = F.col("price") * F.col("usd") * F.when(F.col("minor"), 1.0).otherwise(100.0)
-    return priced.select("parent_asin", F.lit("price").alias("quantity"), F.floor(cents + 0.5).cast("bigint").alias("amount")).distinct()
-
-
 def stated_amounts(items: DataFrame, stores: DataFrame, rates: DataFrame) -> DataFrame:
     """``parent_asin, quantity, amount``, each once: the figures whose unit the record or its store states.
 
-    These are the rows of ``assign_units`` that pass the exact check: a unit that was only predicted isn't stated. Defined
-    results: null or empty details give no rows; repeated listings give one; a bare figure without any statement gives none.
+    These are the rows of ``assign_units``, prices among them, that pass the exact check: a unit that was only predicted
+    isn't stated, and a statement that the forest finds impossible stands by rule. Defined results: null or empty details
+    give no rows; a price that is null, NaN, zero or negative, or of no known currency, gives none; repeated listings give
+    one; a bare figure without any statement gives none.
     """
-    amounts = assign_units(items, stores).filter(F.col("source").isin("value", "checked", "corrected"))
-    return amounts.select("parent_asin", "quantity", "amount").distinct().unionByName(prices(items, stores, rates))
+    rows = assign_units(items, stores, rates=rates).filter(F.col("source").isin("value", "agreed", "supported", "disputed") & F.col("amount").isNotNull())
+    return rows.select("parent_asin", "quantity", "amount").distinct()
