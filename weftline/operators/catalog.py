@@ -17,7 +17,7 @@ MATERIALS = (
 #: Weights of the indexed fields, in the order they are read.
 FIELDS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5, "store": 1.5, "description": 1.0}
 
-#: Size as catalogue texts write it.
+#: Fixed value: size as catalogue texts write it.
 SIZE = r"\bsize\b[:\s]*([0-9]{1,2}(?:\.5)?|xxs|xs|s|m|l|xl|xxl|xxxl)\b"
 
 

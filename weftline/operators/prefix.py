@@ -119,17 +119,20 @@ def slice_offsets(sliced: DataFrame, group: str, key: str, size: str, rows: int
         F.sum("rows").over(over).alias("total"))
 
 
-def number_rows(df: DataFrame, group: str, value: str, ties: list[Column | str], out: str, rows: int = ROWS) -> DataFrame:
-    """Number the rows of each ``group`` from 1 by falling ``value`` and then ``ties``, whatever a group's size. ``df`` is read three times.
+def number_rows(df: DataFrame, group: str, value: str, ties: list[Column | str], out: str, rows: int = ROWS, size: str | None = None) -> DataFrame:
+    """Number the rows of each ``group`` from 1 by falling ``value`` and then ``ties``, whatever a group's size.
 
+    ``size`` is a column with the size of the row's group; without it the sizes are counted, and ``df`` is read once more.
     Defined results: a null ``value`` comes last; a null group is a group; an empty table gives an empty one.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    sized = df.join(sizes.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    sized = df.withColumn("__n", F.col(size)) if size else None
+    if sized is None:
+        sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+        sized = df.join(sizes.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
     keyed = sized.withColumn("__key", F.lit(0)).withColumn("__falling", F.coalesce(-F.col(value).cast("double"), F.lit(float("inf"))))
     sliced = slice_large(keyed, group, "__key", "__falling", "__n", rows)
     offsets = slice_offsets(sliced, group, "__key", "__n", rows).select(F.col(group).alias("__g"), F.col("slice").alias("__s"), "offset")
     inside = Window.partitionBy(group, "slice").orderBy("__falling", *ties)
-    numbered = sliced.withColumn("__local", F.row_number().over(inside))
+    numbered = sliced.select(*df.columns, "slice", F.row_number().over(inside).alias("__local"))
     placed = numbered.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("slice") == F.col("__s")), "left")
     return placed.select(*df.columns, (F.col("__local") + F.coalesce("offset", F.lit(0))).cast("int").alias(out))

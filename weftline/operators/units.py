@@ -292,16 +292,17 @@ def predict_units(rows: DataFrame, forest, units: list[str]) -> DataFrame:
     """Add the row's ``votes`` by unit ("dimension unit"), and of the first among those of its dimension: ``guess`` and ``vote``."""
     from pyspark.ml.functions import vector_to_array
 
-    names = F.array(*[F.lit(u) for u in units])
-    probability = F.array(F.lit(1.0)) if forest is None else vector_to_array(F.col("probability"))
-    votes = F.arrays_zip(probability.alias("vote"), names.alias("unit"))
-    own = F.filter(votes, lambda v: v["unit"].startswith(F.concat(F.col("dimension"), F.lit(" "))))
-    best = F.array_max(own)
     rows = rows if "dimension" in rows.columns else rows.withColumn("dimension", F.substring_index("unit", " ", 1))
-    return (
-        (rows if forest is None else forest.transform(rows))
-        .withColumn("votes", own).withColumn("vote", F.coalesce(best["vote"], F.lit(0.0))).withColumn("guess", best["unit"])
-        .drop("rawPrediction", "probability", "prediction"))
+    # The forest runs once for each row: what follows reads its votes from a table.
+    kept = [c for c in rows.columns if c not in ("x", "features")]
+    if forest is None:
+        cast = rows.select(*kept, F.array(F.lit(1.0)).alias("all"))
+    else:
+        cast = materialize(forest.transform(rows).select(*kept, vector_to_array("probability").alias("all")), "votes")
+    votes = F.arrays_zip(F.col("all").alias("vote"), F.array(*[F.lit(u) for u in units]).alias("unit"))
+    own = cast.withColumn("votes", F.filter(votes, lambda v: v["unit"].startswith(F.concat(F.col("dimension"), F.lit(" "))))).drop("all")
+    best = own.withColumn("best", F.array_max("votes"))
+    return best.withColumn("vote", F.coalesce(F.col("best.vote"), F.lit(0.0))).withColumn("guess", F.col("best.unit")).drop("best")
 
 
 def calibrated(vote, calibration):
@@ -309,9 +310,10 @@ def calibrated(vote, calibration):
     if calibration is None:
         return F.lit(0.0)
     edges, values = calibration.boundaries.toArray().tolist(), calibration.predictions.toArray().tolist()
-    steps = F.array(*[F.lit(v) for v in values])
-    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= vote))
-    return F.element_at(steps, F.greatest(F.lit(1), at))
+    steps, bounds = F.array(*[F.lit(v) for v in values]), F.array(*[F.lit(e) for e in edges])
+    # The vote is bound once; named within the filter, the forest's votes would be counted again for every step.
+    bound = F.transform(F.array(vote), lambda v: F.element_at(steps, F.greatest(F.lit(1), F.size(F.filter(bounds, lambda e: e <= v)))))
+    return F.get(bound, F.lit(0))
 
 
 #: Dimensions of the systems a unit belongs to, for the neighbours of a figure.
@@ -389,7 +391,7 @@ def decided(rows: DataFrame, confident: float) -> DataFrame:
             "source",
             F.when(F.col("stated").isNull(), F.when(sure, "predicted").otherwise("review"))
             .when(sure & (F.col("predicted") == F.col("stated")), "agreed").when(possible, "supported").otherwise("disputed"))
-        guessed = guessed.withColumn("unit", F.when(F.col("source") == "predicted", F.col("predicted")).otherwise(F.col("stated"))).drop("features", "x", "vote", "votes", "guess")
+        guessed = guessed.withColumn("unit", F.when(F.col("source") == "predicted", F.col("predicted")).otherwise(F.col("stated"))).drop("vote", "votes", "guess")
     known = rows.filter(F.col("in_value").isNotNull()).withColumn("source", F.lit("value")).withColumn("unit", F.col("in_value"))
     known = known.withColumn("predicted", F.lit(None).cast("string")).withColumn("confidence", F.lit(1.0))
     return known.select(columns).unionByName(guessed.select(columns))

@@ -11,23 +11,36 @@ TERMS, LEAST_POOL, LEAST_DF, LARGEST_SHARE, MOST_TERMS, LEAST_SUPPORT = 40, 8, 2
 
 #: Words that describe a listing and not the product.
 LISTING_WORDS = (
-    "imported manufacturer discontinued asin dimensions inches ounces pounds package packaging item model number date available department "
-    "shipping returns warranty amazon seller please click buy purchase customer service contact email guarantee satisfaction quality products "
-    "product brand new free day days size sizes chart check note due may vary different monitor screen picture actual color hand machine wash "
-    "washable dry clean cleaning care instructions bleach iron tumble only made usa material materials made-in occasion suitable").split()
+    "imported", "manufacturer", "discontinued", "asin", "dimensions", "inches", "ounces", "pounds", "package", "packaging", "item", "model",
+    "number", "date", "available", "department", "shipping", "returns", "warranty", "amazon", "seller", "please", "click", "buy", "purchase",
+    "customer", "service", "contact", "email", "guarantee", "satisfaction", "quality", "products", "product", "brand", "new", "free", "day", "days",
+    "size", "sizes", "chart", "check", "note", "due", "may", "vary", "different", "monitor", "screen", "picture", "actual", "color", "hand",
+    "machine", "wash", "washable", "dry", "clean", "cleaning", "care", "instructions", "bleach", "iron", "tumble", "only", "made", "usa", "material",
+    "materials", "made-in", "occasion", "suitable")
 
 #: shoppers' words and the words catalogues use for them.
 GROUNDING = {
-    "warm": "insulated thermal fleece sherpa quilted down wool lined padded warmth", "warmth": "insulated thermal fleece wool lined padded",
-    "cold": "insulated thermal fleece wool windproof", "winter": "insulated thermal fleece wool down parka",
-    "summer": "breathable lightweight mesh linen short airy", "cool": "breathable mesh ventilated lightweight",
-    "comfortable": "soft stretch cushioned padded breathable relaxed comfort", "comfy": "soft stretch cushioned padded relaxed comfort",
-    "soft": "cotton fleece cashmere plush velvet brushed", "lightweight": "light breathable thin mesh packable",
-    "breathable": "mesh ventilated moisture wicking airy", "durable": "reinforced ripstop rugged heavyweight sturdy resistant tear",
-    "waterproof": "water resistant rain sealed repellent", "stretchy": "stretch spandex elastane elastic flexible",
-    "casual": "everyday relaxed weekend", "formal": "dress business tailored suit professional", "work": "business office professional dress",
-    "gym": "athletic performance training moisture wicking", "workout": "athletic performance training moisture wicking",
-    "hiking": "trail outdoor traction rugged hike", "travel": "packable wrinkle lightweight compact",
+    "warm": ["insulated", "thermal", "fleece", "sherpa", "quilted", "down", "wool", "lined", "padded", "warmth"],
+    "warmth": ["insulated", "thermal", "fleece", "wool", "lined", "padded"],
+    "cold": ["insulated", "thermal", "fleece", "wool", "windproof"],
+    "winter": ["insulated", "thermal", "fleece", "wool", "down", "parka"],
+    "summer": ["breathable", "lightweight", "mesh", "linen", "short", "airy"],
+    "cool": ["breathable", "mesh", "ventilated", "lightweight"],
+    "comfortable": ["soft", "stretch", "cushioned", "padded", "breathable", "relaxed", "comfort"],
+    "comfy": ["soft", "stretch", "cushioned", "padded", "relaxed", "comfort"],
+    "soft": ["cotton", "fleece", "cashmere", "plush", "velvet", "brushed"],
+    "lightweight": ["light", "breathable", "thin", "mesh", "packable"],
+    "breathable": ["mesh", "ventilated", "moisture", "wicking", "airy"],
+    "durable": ["reinforced", "ripstop", "rugged", "heavyweight", "sturdy", "resistant", "tear"],
+    "waterproof": ["water", "resistant", "rain", "sealed", "repellent"],
+    "stretchy": ["stretch", "spandex", "elastane", "elastic", "flexible"],
+    "casual": ["everyday", "relaxed", "weekend"],
+    "formal": ["dress", "business", "tailored", "suit", "professional"],
+    "work": ["business", "office", "professional", "dress"],
+    "gym": ["athletic", "performance", "training", "moisture", "wicking"],
+    "workout": ["athletic", "performance", "training", "moisture", "wicking"],
+    "hiking": ["trail", "outdoor", "traction", "rugged", "hike"],
+    "travel": ["packable", "wrinkle", "lightweight", "compact"],
 }
 
 

@@ -4,33 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.functions import extract, text
+from weftline.functions import extract, lexicon as lex, text
 from weftline.operators import catalog, search
 from weftline.plans import pool
 from weftline.plans.messages import COLOUR_LIST, FIRST, MATERIAL_LIST, MESSAGES_SQL, SIGNALS_SQL, T_SQL, _list, coarse_category, messages, products
 from weftline.plans.search import BM25_SQL, INDEX_SQL, PRODUCTS_SQL, REQUESTS_SQL, TERMS_SQL, TOP_SQL, index_of, requests
 from weftline.runtime import table
 
-#: Words of a message that mark slots, corrections or the act of shopping, and carry no wish of their own.
-FRAME = (
-    "size budget brand color colour material priced price cost costs dollars usd bucks under around about approximately roughly over above below "
-    "actually instead rather ignore forget earlier previous prior preference preferences mind wait scratch nevermind disregard what need needed "
-    "still exploring explore browsing browse shopping considering consider undecided deciding key requirement requirements criteria matters matter "
-    "important priority prioritize essential recommend recommendation recommendations suggest suggestion suggestions options option something "
-    "anything everything help").split()
+#: Words of a message that mark slots, corrections or the act of shopping, and carry no wish of their own.
+FRAME = [*lex.MARKER_WORDS, *lex.CORRECTION_WORDS, *lex.FRAMING_WORDS]
 
 #: Preference tags and the trait words of products that meet them.
 TAG_TRAITS = {
-    "warmth": "warm insulated thermal fleece sherpa winter cozy", "weather": "waterproof water resistant rain windproof weatherproof",
-    "performance": "athletic performance training sport running workout wicking breathable", "durability": "durable rugged reinforced sturdy heavy lasting",
-    "comfort": "comfortable comfort soft cushioned padded lightweight",
+    "warmth": ["warm", "insulated", "thermal", "fleece", "sherpa", "winter", "cozy"],
+    "weather": ["waterproof", "water", "resistant", "rain", "windproof", "weatherproof"],
+    "performance": ["athletic", "performance", "training", "sport", "running", "workout", "wicking", "breathable"],
+    "durability": ["durable", "rugged", "reinforced", "sturdy", "heavy", "lasting"],
+    "comfort": ["comfortable", "comfort", "soft", "cushioned", "padded", "lightweight"],
 }
 
 
 def evidence_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each request that no slot and no framing accounts for; a non-answer leaves none."""
     m = F.col("user_message")
-    named = text.strings(*[w for words in extract.CATEGORIES.values() for w in words.split()], *catalog.COLOURS, *catalog.MATERIALS, *FRAME)
+    named = text.strings(*lex.CATEGORY_OF, *catalog.COLOURS, *catalog.MATERIALS, *FRAME)
     left = F.filter(text.search_terms(m), lambda t: ~F.array_contains(named, t))
     return messages(spark, sf_dir).select("request_id", F.when(extract.is_non_answer(m), text.empty()).otherwise(F.array_distinct(left)).alias("residual"))
 
@@ -53,7 +50,7 @@ def attribute_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a session's mapped preference tags that each candidate's traits meet; sessions without mapped tags give no rows."""
     tags = table(spark, sf_dir, "sessions").groupBy("session_id").agg(F.min_by(F.struct("user_profile.preference_tags"), "sample_id").alias("p"))
-    rows = [(tag, words.split()) for tag, words in TAG_TRAITS.items()]
+    rows = list(TAG_TRAITS.items())
     traits = spark.createDataFrame(rows, "tag string, wanted array<string>")  # five rows
     wanted = tags.select("session_id", F.explode(F.array_distinct(F.col("p.preference_tags"))).alias("tag")).join(F.broadcast(traits), "tag")
     per_session = wanted.groupBy("session_id").agg(F.collect_list("wanted").alias("wanted"))  # five at most
@@ -99,9 +96,9 @@ def popularity_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     evidence_residual, grounding_shares, attribute_topk, profile_match, sim_opening, rank_sensitivity, inversions, popularity_feature)}
 
-NAMED = _list([w for words in extract.CATEGORIES.values() for w in words.split()] + list(catalog.COLOURS) + list(catalog.MATERIALS) + FRAME)
+NAMED = _list(list(lex.CATEGORY_OF) + list(catalog.COLOURS) + list(catalog.MATERIALS) + FRAME)
 NON = "coalesce(regexp_matches(lower(user_message), '" + extract.NON_ANSWER.replace("'", "''") + "'), false)"
-TAG_ROWS = ", ".join(f"('{t}', [{', '.join(repr(w) for w in words.split())}])" for t, words in TAG_TRAITS.items())
+TAG_ROWS = ", ".join(f"('{t}', [{', '.join(repr(w) for w in words)}])" for t, words in TAG_TRAITS.items())
 RANKED = pool.SQL["constraint_rank"].rsplit("SELECT request_id, parent_asin, score, matched", 1)
 RANK_CTE = RANKED[0] + ", reranked AS (SELECT request_id, parent_asin, score, matched" + RANKED[1] + ")"
 SQL = {

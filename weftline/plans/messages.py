@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.functions import extract, text
+from weftline.functions import extract, lexicon as lex, text
 from weftline.operators import catalog
 from weftline.operators.vocabulary import LISTING_WORDS
 from weftline.plans.search import PRODUCTS_SQL, STEM_SQL, STOP_SQL, TERMS_SQL, TEXTS_SQL
@@ -73,13 +73,18 @@ def popularity_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Popularity over the scale's maximum; unknown ones take the median. The scale is one row."""
     s = catalog.signals(products(spark, sf_dir))
     scale = catalog.popularity_scale(s).first()
-    highest, median = scale["highest"] or 13.0, scale["median"] or 0.5
+    highest, median = scale["highest"] or HIGHEST, scale["median"] or MEDIAN
     return s.select("parent_asin", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("popularity", F.lit(median)) / highest)), 6).alias("norm"))
 
 
+#: Parts of a category path that say nothing; scale and median of popularity where nothing is known.
+GENERAL_PARTS = ("clothing", "clothing shoes & jewelry", "clothing, shoes & jewelry")
+HIGHEST, MEDIAN = 13.0, 0.5
+
+
 def coarse_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last two parts of the category path that aren't general."""
-    general = text.strings("clothing", "clothing shoes & jewelry", "clothing, shoes & jewelry")
+    general = text.strings(*GENERAL_PARTS)
     parts = F.transform(F.flatten(F.transform("categories", lambda c: F.split(c, ","))), lambda c: F.trim(c))
     kept = F.coalesce(F.filter(parts, lambda c: (c != "") & ~F.array_contains(general, F.lower(c))), text.empty())
     last = F.slice(kept, F.greatest(F.size(kept) - 1, F.lit(1)), F.lit(2))
@@ -117,6 +122,7 @@ QUERIES = {f.__name__: f for f in (
     "extract_size": _of_message("size", extract.size),
     "extract_brand": _of_message("brand", extract.brand),
     "is_non_answer": _of_message("non_answer", extract.is_non_answer),
+    "evidence_confidence": _of_message("confidence", extract.confidence),
 }
 
 
@@ -130,7 +136,7 @@ def _q(pattern: str) -> str:
 
 COLOUR_LIST, MATERIAL_LIST = _list(catalog.COLOURS), _list(catalog.MATERIALS)
 T_SQL = f"coalesce({TERMS_SQL}, [])"
-WORD_MAP = "MAP {" + ", ".join(f"'{w}': '{base}'" for base, words in extract.CATEGORIES.items() for w in words.split()) + "}"
+WORD_MAP = "MAP {" + ", ".join(f"'{w}': '{base}'" for w, base in lex.CATEGORY_OF.items()) + "}"
 CODE_MAP = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in extract.SIZE_CODES.items()) + "}"
 ALL_TEXT = "lower(concat_ws(' ', " + ", ".join(TEXTS_SQL[f] for f in ("title", "categories", "store", "features", "details", "description")) + "))"
 FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
@@ -164,7 +170,7 @@ SIZE_SQL = f"SELECT request_id, coalesce({CODE_MAP}[raw], raw) AS size FROM (SEL
 DISTINCT_CLEAN = FIRST.format("c")
 SQL = {
     "scan_catalog": PRO + "title, store, average_rating, rating_number FROM products",
-    "dedup_last_wins": """SELECT parent_asin, line_no, received_at FROM (
+    "dedup_last_wins": r"""SELECT parent_asin, line_no, received_at FROM (
       SELECT CASE WHEN json_valid(raw_line) AND NOT regexp_matches(raw_line, ',\s*[\}\]]\s*$') THEN json_extract_string(raw_line, '$.parent_asin') END AS parent_asin, line_no, received_at FROM catalog_raw)
       WHERE parent_asin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_asin ORDER BY received_at DESC NULLS LAST, line_no DESC) = 1""",
     "flatten_text": PRO + ", ".join(f"{TEXTS_SQL[f]} AS {f}" for f in ("categories", "features", "details", "description")) + " FROM products",
@@ -195,5 +201,8 @@ SQL = {
     "extract_material": MSG + f"{FIRST.format('c')} AS materials FROM (SELECT request_id, list_filter({T_SQL}, lambda t: list_contains({MATERIAL_LIST}, t)) AS c FROM messages)",
     "extract_size": f"WITH {MESSAGES_SQL} {SIZE_SQL}",
     "extract_brand": MSG + f"coalesce(CASE WHEN b = 'levis' THEN 'levi' ELSE b END, w) AS brand FROM (SELECT request_id, {_hit('(?:^|[^a-z])(' + extract.BRANDS + ')(?:[^a-z]|$)')} AS b, {_hit(chr(92) + 'bbrand' + chr(92) + 's+([a-z][a-z0-9&' + chr(39) + chr(92) + '-]{1,20})' + chr(92) + 'b')} AS w FROM messages)",
+    "evidence_confidence": f"""WITH {MESSAGES_SQL}, said AS (SELECT request_id, user_message, {T_SQL} AS t FROM messages)
+      SELECT request_id, CASE WHEN len(list_filter(t, lambda w, i: list_contains({_list(lex.REQUIREMENT_WORDS)}, w) AND NOT list_has_any(t[greatest(1, i - 3):i - 1], {_list(lex.NEGATIONS)}))) > 0 THEN 1.0::DOUBLE
+        WHEN list_has_any(t, {_list((*lex.REQUIREMENT_WORDS, *lex.HEDGES))}) THEN 0.4 WHEN coalesce(regexp_matches(lower(user_message), {_q(lex.REPLACE_CUE)}), false) THEN 0.9 ELSE 0.7 END AS confidence FROM said""",
     "is_non_answer": MSG + f"coalesce(regexp_matches({LOW}, {_q(extract.NON_ANSWER)}), false) AS non_answer FROM messages",
 }

@@ -84,7 +84,7 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounding(spark: SparkSession) -> DataFrame:
-    pairs = [(k, w) for k, words in vocabulary.GROUNDING.items() for w in words.split()]
+    pairs = [(k, w) for k, words in vocabulary.GROUNDING.items() for w in words]
     return spark.createDataFrame(pairs, "said string, term string")
 
 
@@ -199,24 +199,6 @@ def price_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("request_id", "parent_asin", "price", F.when(F.col("n") >= 4, bucket).otherwise(0).alias("bucket"))
 
 
-def attribute_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well asking for an attribute would split each pool: share that declares it times one minus the share of its commonest value."""
-    meta = table(spark, sf_dir, "catalog_meta").select("parent_asin", "colors", "materials", "sizes")
-    rows = members(spark, sf_dir).join(meta, "parent_asin", "left")
-    stacked = rows.select("request_id", "parent_asin", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("attribute"), F.coalesce(c, empty()).alias("vals")) for n, c in (("color", "colors"), ("material", "materials"), ("size", "sizes"))])))
-    sizes = stacked.groupBy("request_id", "attribute").agg(F.count("*").alias("n"), F.count_if(F.size("vals") > 0).alias("declaring"))
-    counts = stacked.select("request_id", "attribute", F.explode(F.array_distinct("vals")).alias("v")).groupBy("request_id", "attribute", "v").agg(F.count("*").alias("c"))
-    top = counts.groupBy("request_id", "attribute").agg(F.max("c").alias("most"))
-    return sizes.join(top, ["request_id", "attribute"], "left").select(
-        "request_id", "attribute", F.round(F.coalesce(F.col("declaring") / F.col("n") * (1 - F.col("most") / F.col("declaring")), F.lit(0.0)), 6).alias("value"))
-
-
-def rank_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("request_id").orderBy(F.desc("value"), "attribute")
-    return attribute_value(spark, sf_dir).withColumn("rank", F.row_number().over(order))
-
-
 def pool_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request: rows logged, different products, repeats, products without routes, and mean number of routes."""
     c = table(spark, sf_dir, "candidates")
@@ -236,10 +218,10 @@ def route_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     meta_lookup, pool_terms, pool_vocabulary, vocab_noise, most_discriminative, pool_idf_rerank, term_weights, grounding_support, ground_terms,
-    rrf_fusion, classify_constraints, constraint_rank, price_buckets, attribute_value, rank_attributes, pool_shape, route_presence)}
+    rrf_fusion, classify_constraints, constraint_rank, price_buckets, pool_shape, route_presence)}
 
 BASE = f"WITH {VOCAB_SQL}, {MEMBERS_SQL}, {DF_SQL}, {KEPT_SQL}, {MESSAGES_SQL}, said AS (SELECT DISTINCT request_id, unnest({T_SQL}) AS term FROM messages)"
-MAP_ROWS = ", ".join(f"('{k}', '{w}')" for k, words in vocabulary.GROUNDING.items() for w in words.split())
+MAP_ROWS = ", ".join(f"('{k}', '{w}')" for k, words in vocabulary.GROUNDING.items() for w in words)
 SUPPORT = f"support AS (SELECT request_id, said, k.term AS term, round(df / pool, 6) AS support FROM (SELECT request_id, term AS said FROM said) JOIN (VALUES {MAP_ROWS}) m(said, term) USING (said) JOIN kept k USING (request_id, term))"
 FUSED_SQL = """routes AS (SELECT request_id, route, parent_asin, max(score) AS score FROM (
     SELECT request_id, parent_asin, unnest(map_keys(route_scores)) AS route, unnest(map_values(route_scores)) AS score FROM candidates)
@@ -272,11 +254,6 @@ q AS (SELECT *, """ + ", ".join(
     f"max(price) FILTER (i = w{j}) OVER p AS l{j}, max(price) FILTER (i = w{j} + 1) OVER p AS h{j}" for j in (1, 2, 3)) + """ FROM whole WINDOW p AS (PARTITION BY request_id))
 SELECT request_id, parent_asin, price, CASE WHEN n >= 4 THEN """ + " + ".join(
     f"CASE WHEN price > round(l{j} + (h{j} - l{j}) * ({j} * (n + 1) / 4 - w{j}), 9) THEN 1 ELSE 0 END" for j in (1, 2, 3)) + " ELSE 0 END AS bucket FROM q"
-ATTR_SQL = f"""{MEMBERS_SQL}, stacked AS (SELECT request_id, parent_asin, attribute, coalesce(v, []) AS v FROM (
-  SELECT request_id, parent_asin, unnest(['color', 'material', 'size']) AS attribute, unnest([colors, materials, sizes]) AS v FROM members LEFT JOIN catalog_meta USING (parent_asin))),
-sizes AS (SELECT request_id, attribute, count(*) AS n, count(*) FILTER (len(v) > 0) AS declaring FROM stacked GROUP BY ALL),
-most AS (SELECT request_id, attribute, max(c) AS most FROM (SELECT request_id, attribute, x, count(*) AS c FROM (SELECT request_id, attribute, unnest(list_distinct(v)) AS x FROM stacked) GROUP BY ALL) GROUP BY ALL),
-value AS (SELECT request_id, attribute, round(coalesce(declaring / n * (1 - most / declaring), 0.0), 6) AS value FROM sizes LEFT JOIN most USING (request_id, attribute))"""
 SQL = {
     "meta_lookup": f"WITH {MEMBERS_SQL} SELECT m.request_id, m.parent_asin, colors, materials, cats, store, sizes, CASE WHEN NOT isnan(price) THEN price END AS price, popularity FROM members m LEFT JOIN catalog_meta USING (parent_asin)",
     "pool_terms": f"WITH {MEMBERS_SQL}, {VOCAB_SQL} SELECT request_id, parent_asin, len(terms) AS n_terms FROM members LEFT JOIN vocab USING (parent_asin)",
@@ -294,8 +271,6 @@ SQL = {
       scored AS (SELECT request_id, parent_asin, fusion_score, matched, violated, round(fusion_score + CASE WHEN asked > 0 THEN (0.4::DOUBLE * matched - 0.2::DOUBLE * violated) / asked ELSE 0.0 END, 9) AS score FROM pool JOIN counted USING (request_id, parent_asin))
       SELECT request_id, parent_asin, score, matched, violated, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, fusion_score DESC, parent_asin)::INT AS rank FROM scored""",
     "price_buckets": PRICE_SQL,
-    "attribute_value": f"WITH {ATTR_SQL} SELECT * FROM value",
-    "rank_attributes": f"WITH {ATTR_SQL} SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY value DESC, attribute)::INT AS rank FROM value",
     "pool_shape": "SELECT request_id, count(*) AS n_rows, count(DISTINCT parent_asin) AS products, count(*) FILTER (coalesce(cardinality(route_scores), 0) = 0) AS without_routes, round(avg(coalesce(cardinality(route_scores), 0)), 6) AS mean_routes FROM candidates GROUP BY request_id",
     "route_presence": "WITH found AS (SELECT DISTINCT request_id, parent_asin, unnest(map_keys(route_scores)) AS route FROM candidates), alone AS (SELECT min(route) AS route FROM found GROUP BY request_id, parent_asin HAVING count(*) = 1) SELECT route, count(*) AS pairs, coalesce(any_value(n), 0) AS n_only FROM found LEFT JOIN (SELECT route, count(*) AS n FROM alone GROUP BY route) USING (route) GROUP BY route",
 }
