@@ -56,28 +56,29 @@ def ranks(items: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
     ``h`` whether the score is there. Scores are ranked in rows of their own, by slices of a request's values: one for a
     request of at most ``rows`` candidates, and as many as its size asks for beyond that.
     """
-    items = materialize(items, "items")
-    sizes = items.groupBy("request_id").agg(F.count("*").alias("n"), *[F.count(f"s{i}").alias(f"p{i}") for i in range(k)])
-    sized = items.join(sizes.withColumnRenamed("request_id", "of"), F.col("request_id").eqNullSafe(F.col("of"))).drop("of")
+    sizes = items.groupBy(F.col("request_id").alias("of")).agg(F.count("*").cast("int").alias("n"), *[F.count(f"s{i}").cast("int").alias(f"p{i}") for i in range(k)])
+    sized = items.join(sizes, F.col("request_id").eqNullSafe(F.col("of"))).drop("of")
+    sized = materialize(sized.withColumn("id", F.monotonically_increasing_id()), "items")  # ids are as written
     scores = F.filter(F.array(*[F.struct(F.lit(i).cast("byte").alias("key"), F.col(f"s{i}").alias("score")) for i in range(k)]), lambda x: x["score"].isNotNull())
-    long = slice_large(sized.select("request_id", "parent_asin", "n", F.inline(scores)), "request_id", "key", "score", "n", rows)
+    long = slice_large(sized.select("request_id", "id", "n", F.inline(scores)), "request_id", "key", "score", "n", rows)
     inside = Window.partitionBy("request_id", "key", "slice").orderBy("score")
     local = (F.rank().over(inside) - 1 + F.count("*").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
     offsets = slice_offsets(long, "request_id", "key", "n", rows).drop("total")
-    ranked = long.select("request_id", "parent_asin", "key", "slice", local.alias("local")).join(offsets, ["request_id", "key", "slice"], "left")
-    ranked = ranked.select("request_id", "parent_asin", F.struct("key", (F.col("local") + F.coalesce("offset", F.lit(0))).alias("below")).alias("at"))
-    whole = sized.select("request_id", "parent_asin", F.struct("build_tag", "pool_pos", "n", *[f"p{i}" for i in range(k)]).alias("whole"))
-    both = ranked.select("request_id", "parent_asin", "at", F.lit(None).cast(whole.schema["whole"].dataType).alias("whole")).unionByName(
-        whole.select("request_id", "parent_asin", F.lit(None).cast(ranked.schema["at"].dataType).alias("at"), "whole"))
-    wide_ = both.groupBy("request_id", "parent_asin").agg(
-        F.max("whole").alias("whole"), *[F.max(F.when(F.col("at.key") == i, F.col("at.below"))).alias(f"b{i}") for i in range(k)])
-    n = F.col("whole.n")
-    absent = lambda i: n - F.col(f"whole.p{i}")
+    ranked = long.select("request_id", "id", "key", "slice", local.alias("local")).join(offsets, ["request_id", "key", "slice"], "left")
+    below = ranked.select("id", "key", (F.col("local") + F.coalesce("offset", F.lit(0))).alias("below"))
+    # Ranks meet their item by its id: one narrow row for each score, and one for the item itself.
+    whole = sized.drop(*[f"s{i}" for i in range(k)])
+    facts = [c for c in whole.columns if c != "id"]
+    none = lambda c: F.lit(None).cast(whole.schema[c].dataType).alias(c)
+    both = below.select("id", "key", "below", *[none(c) for c in facts]).unionByName(
+        whole.select("id", F.lit(None).cast("byte").alias("key"), F.lit(None).cast("double").alias("below"), *facts))
+    wide_ = both.groupBy("id").agg(*[F.max(c).alias(c) for c in facts], *[F.max(F.when(F.col("key") == i, F.col("below"))).alias(f"b{i}") for i in range(k)])
+    absent = lambda i: F.col("n") - F.col(f"p{i}")
     out = wide_.select(
-        "request_id", "parent_asin", "whole.build_tag", "whole.pool_pos", "whole.n", *[F.col(f"b{i}").isNotNull().alias(f"h{i}") for i in range(k)],
-        *[(F.coalesce(absent(i) + F.col(f"b{i}"), absent(i) / 2) / n).alias(f"r{i}") for i in range(k)], *[(absent(i) / n).alias(f"a{i}") for i in range(k)])
+        "request_id", "parent_asin", "build_tag", "pool_pos", "n", *[F.col(f"b{i}").isNotNull().alias(f"h{i}") for i in range(k)],
+        *[(F.coalesce(absent(i) + F.col(f"b{i}"), absent(i) / 2) / F.col("n")).alias(f"r{i}") for i in range(k)], *[(absent(i) / F.col("n")).alias(f"a{i}") for i in range(k)])
     out = materialize(out, "ranks")
-    release(items)
+    release(sized)
     return out
 
 
@@ -110,7 +111,7 @@ def oriented(ranked: DataFrame, k: int, signs: dict[str, list[int]], directions:
         if None in flipped:
             at = at | F.col("build_tag").isNull()
         columns.append(F.when(F.coalesce(at, F.lit(False)), mirrored).otherwise(F.col(f"r{i}")).alias(f"x{i}"))
-    return ranked.select("request_id", "parent_asin", *columns)
+    return ranked.select("request_id", "parent_asin", "n", *columns)
 
 
 def first_component(x: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +156,7 @@ def fuse(candidates: DataFrame, meta: DataFrame, directions: dict[str, int] | No
     x = oriented(ranked, k, signs, declared)
     mean, sd, loadings = first_component(x, k)
     score = sum(((F.col(f"x{i}") - float(mean[i])) * float(loadings[i] / sd[i]) for i in range(k)), F.lit(0.0))
-    scored = x.select("request_id", "parent_asin", F.round(score, 9).alias("score"))
+    scored = x.select("request_id", "parent_asin", "n", F.round(score, 9).alias("score"))
     learned = [{"score": n, "direction": declared[i], "loading": float(loadings[i] * declared[i]),
                 "upside_down": sorted(str(t) for t, s in signs.items() if s[i] < 0)} for i, n in enumerate(names)]
-    return number_rows(scored, "request_id", "score", ["parent_asin"], "rank", large), learned
+    return number_rows(scored, "request_id", "score", ["parent_asin"], "rank", large, size="n").drop("n"), learned
