@@ -167,7 +167,7 @@ def build_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The mode each scenario is labelled with.
-EXPECTED = {"buying": "buying", "boundary": "buying", "intent_override": "buying", "browsing": "browsing"}
+EXPECTED = {"buying": "buying", "intent_override": "buying", "browsing": "browsing", "boundary": "browsing"}
 
 
 def mode_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +342,7 @@ def normalize_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- audits ----------------------------------------------------------------------------------------------------------------
 
 #: Confidence and reliability that count as high.
-HIGH_CONFIDENCE, HIGH_RELIABILITY = 0.7, 0.5
+HIGH_CONFIDENCE, HIGH_RELIABILITY = 0.65, 0.5
 
 
 def quadrant_census(spark: SparkSession, sf_dir: str) -> DataFrame:
