@@ -120,14 +120,14 @@ def pool_proposals(head: DataFrame, scores: DataFrame, group: str) -> DataFrame:
 
 
 def ask_scorer(head: DataFrame, scorer: Callable, group: str, key: str = "string", *columns: str) -> DataFrame:
-    """Add ``proposed`` and ``failed`` to heads by a Python ``scorer(ids, row)``, of which nothing is trusted: it may raise or return anything."""
+    """Add ``proposed`` and ``failed`` to heads by a Python ``scorer(ids, row)``, of which nothing is trusted: it may raise or return anything. ``row`` has the request's id and ``columns``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, proposed, failed = batch.to_pylist(), [], []
             for row in rows:
                 try:
-                    got, bad = scorer(list(row["ids"]), {c: row[c] for c in columns}), False
+                    got, bad = scorer(list(row["ids"]), {c: row[c] for c in (group, *columns)}), False
                 except Exception:
                     got, bad = None, True
                 failed.append(bad)

@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.functions.text import document_terms, search_terms, stem
+from weftline.functions.text import document_terms, search_terms
 from weftline.operators.catalog import FIELDS, field_texts
+from weftline.runtime import materialize
 
 #: Saturation and length normalisation of BM25, its least idf, query length, damping and size of the fused pool.
 K1, B, LEAST_IDF, QUERY_TERMS, DAMPING, POOL = 1.2, 0.75, 1e-6, 40, 60, 300
 
 
 def postings(p: DataFrame) -> DataFrame:
-    """``term, parent_asin, weight, in_categories``: summed field weights of a term in a product.
+    """``term, parent_asin, weight, category_weight, hits, length``: a term's summed field weights in a product, those of the
+    categories alone, how often it stands there, and the product's tokens over all fields.
 
-    One pass over the products; every product's tokens are counted where they are, so only distinct (term, product) pairs leave.
+    One pass over the products; every product's tokens are counted where they are, so only distinct (term, product) pairs
+    leave. The length goes with the pair, so that scoring joins nothing else.
     """
     texts = field_texts(p)
     def tagged_terms(field: str):
-        return F.transform(document_terms(texts[field]), lambda t: F.struct(
-            t.alias("term"), F.lit(FIELDS[field]).alias("w"), F.lit(field == "categories").alias("c")))
+        w = F.lit(FIELDS[field])
+        return F.transform(document_terms(texts[field]), lambda t: F.struct(t.alias("term"), w.alias("w"), (w if field == "categories" else F.lit(0.0)).alias("c")))
 
-    tagged = F.concat(*[tagged_terms(f) for f in FIELDS])
-    return p.select("parent_asin", F.inline(tagged)).groupBy("parent_asin", "term").agg(F.sum("w").alias("weight"), F.max("c").alias("in_categories"))
+    tagged = p.select("parent_asin", F.concat(*[tagged_terms(f) for f in FIELDS]).alias("tokens"))
+    rows = tagged.select("parent_asin", F.size("tokens").alias("length"), F.inline("tokens"))
+    return rows.groupBy("parent_asin", "term").agg(F.sum("w").alias("weight"), F.sum("c").alias("category_weight"), F.count("*").alias("hits"), F.max("length").alias("length"))
 
 
-def lengths(p: DataFrame) -> DataFrame:
-    """``parent_asin, length``: tokens over all fields."""
-    texts = field_texts(p)
-    return p.select("parent_asin", sum((F.size(document_terms(t)) for t in texts.values()), F.lit(0)).alias("length"))
+class Index:
+    """The inverted index, written once: its postings, the number of products, and their mean length."""
+
+    def __init__(self, p: DataFrame):
+        self.postings = materialize(postings(p), "postings")
+        self.products = p.select("parent_asin").count()
+        total = self.postings.agg(F.sum("hits")).first()[0] or 0
+        self.mean = total / self.products if total else 1.0
+
+    def idf(self, df: Column) -> Column:
+        raw = F.log((self.products - df + 0.5) / (df + 0.5))
+        return F.when(raw > 0, raw).otherwise(LEAST_IDF)
+
+    def part(self, idf: Column, weight: Column, length: Column) -> Column:
+        """What a phrase adds to a product's score."""
+        return idf * weight * (K1 + 1) / (weight + K1 * (1 - B + B * length / self.mean))
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,23 +52,53 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(key, F.explode(F.slice(F.array_distinct(search_terms(F.col(text))), 1, QUERY_TERMS)).alias("term"))
 
 
-def bm25(terms: DataFrame, key: str, index: DataFrame, length: DataFrame) -> DataFrame:
+def bm25(terms: DataFrame, key: str, index: Index) -> DataFrame:
     """``key, parent_asin, score`` of every product that holds any term. ``terms`` has rows ``key, term``.
 
     Term statistics are joined to the query's terms first, so the large join is of (few) query rows with postings by term;
     AQE splits a term that a third of the products hold.
     """
-    size = length.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = size["n"], float(size["mean"] or 1.0)
-    wanted = terms.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi").join(length, "parent_asin")
+    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df.withColumn("idf", F.when(raw > 0, raw).otherwise(LEAST_IDF)), "term")
-    part = F.col("idf") * F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("length") / mean))
+    weighted = terms.join(df.withColumn("idf", index.idf(F.col("df"))), "term")
+    part = index.part(F.col("idf"), F.col("weight"), F.col("length"))
     return weighted.join(hits, "term").groupBy(key, "parent_asin").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+#: Kinds of a phrase: a term, any term with this beginning, and such a term among the categories.
+TERM, PREFIX, CATEGORY = "term", "prefix", "category"
+
+
+def category_bm25(phrases: DataFrame, key: str, index: Index) -> DataFrame:
+    """``key, parent_asin, score`` of the products with a category phrase of the query, scored by all its phrases.
+
+    ``phrases`` has rows ``key, kind, text``. A phrase that is a beginning counts as one term with the hits of all that begin
+    so; a category phrase filters, and adds to the score like the others. Different phrases are looked up once.
+    """
+    asked = phrases.select("kind", "text").distinct()
+    begun = prefix_terms(asked.filter(F.col("kind") != TERM).select(F.col("text").alias("stem")).distinct().withColumn("k", F.lit(0)), "k", index.postings.select("term").distinct())
+    terms = asked.filter(F.col("kind") == TERM).withColumn("term", F.col("text")).unionByName(
+        asked.filter(F.col("kind") != TERM).join(begun.select(F.col("stem").alias("text"), "term"), "text").select("kind", "text", "term"))
+    weight = F.when(F.col("kind") == CATEGORY, F.col("category_weight")).otherwise(F.col("weight"))
+    hits = terms.join(index.postings, "term").groupBy("kind", "text", "parent_asin").agg(F.sum(weight).alias("w"), F.max("length").alias("length")).filter("w > 0")
+    hits = materialize(hits, "phrases")
+    idf = hits.groupBy("kind", "text").agg(F.count("*").alias("df")).withColumn("idf", index.idf(F.col("df")))
+    rows = phrases.join(idf, ["kind", "text"]).join(hits, ["kind", "text"])
+    scored = rows.groupBy(key, "parent_asin").agg(
+        F.round(F.sum(index.part(F.col("idf"), F.col("w"), F.col("length"))), 6).alias("score"), F.max((F.col("kind") == CATEGORY).cast("int")).alias("inside"))
+    return scored.filter("inside = 1").drop("inside")
+
+
+def category_phrases(queries: DataFrame, key: str) -> DataFrame:
+    """``key, kind, text`` of queries with arrays ``said`` (terms, repeats kept), ``named`` (terms of attribute values) and ``stems``.
+
+    A query without stems has no phrases. The first different terms count, message first.
+    """
+    held = queries.filter(F.size("stems") > 0)
+    terms = held.select(key, F.lit(TERM).alias("kind"), F.explode(F.slice(F.array_distinct(F.concat("said", "named")), 1, QUERY_TERMS)).alias("text"))
+    return terms.unionByName(held.select(key, F.explode(F.array(F.lit(PREFIX), F.lit(CATEGORY))).alias("kind"), "stems").select(key, "kind", F.explode(F.array_distinct("stems")).alias("text")))
+
+
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
     """Rank by falling score, then id; the best ``k`` of each query. Spark plans a group limit before the shuffle."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), "parent_asin")
@@ -84,7 +130,10 @@ def fuse(routes: DataFrame, key: str, priority: list[str], limit: int = POOL) ->
 
 
 def tf_idf_cosine(terms: DataFrame, key: str, index: DataFrame, n: int) -> DataFrame:
-    """Cosine of query and product vectors with weights (1 + ln tf) * ln(n / (1 + df)); products without positive weights never score."""
+    """Cosine of query and product vectors with weights (1 + ln tf) * ln(n / (1 + df)); products without positive weights never score.
+
+    ``index`` has rows ``term, parent_asin, weight``. Products are met by the query's terms; only theirs are normed.
+    """
     df = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(n)) / (1 + F.col("df"))))
     vectors = index.join(df.filter("idf > 0"), "term").withColumn("w", (1 + F.log("weight")) * F.col("idf"))
     norms = vectors.groupBy("parent_asin").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

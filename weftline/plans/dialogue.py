@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import extract, lexicon as lex, text
-from weftline.operators import catalog, search
+from weftline.operators import catalog
 from weftline.plans import pool
-from weftline.plans.messages import COLOUR_LIST, FIRST, MATERIAL_LIST, MESSAGES_SQL, SIGNALS_SQL, T_SQL, _list, coarse_category, messages, products
-from weftline.plans.search import BM25_SQL, INDEX_SQL, PRODUCTS_SQL, REQUESTS_SQL, TERMS_SQL, TOP_SQL, index_of, requests
+from weftline.plans.messages import FIRST, MESSAGES_SQL, SIGNALS_SQL, T_SQL, _list, messages, products
+from weftline.plans.search import PRODUCTS_SQL
 from weftline.runtime import table
 
 #: Words of a message that mark slots, corrections or the act of shopping, and carry no wish of their own.
@@ -39,14 +39,6 @@ def grounding_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).join(g, "request_id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("requests"))
 
 
-def attribute_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best products for each request by BM25 over the colours and materials it names."""
-    m = F.col("user_message")
-    named = F.filter(text.search_terms(m), lambda t: F.array_contains(text.strings(*catalog.COLOURS, *catalog.MATERIALS), t))
-    terms = requests(spark, sf_dir).select("request_id", F.explode(F.array_distinct(named)).alias("term"))
-    return search.top(search.bm25(terms, "request_id", *index_of(spark, sf_dir)), "request_id", 10)
-
-
 def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a session's mapped preference tags that each candidate's traits meet; sessions without mapped tags give no rows."""
     tags = table(spark, sf_dir, "sessions").groupBy("session_id").agg(F.min_by(F.struct("user_profile.preference_tags"), "sample_id").alias("p"))
@@ -60,16 +52,6 @@ def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.join(per_session, "session_id").join(meta, "parent_asin", "left").select("request_id", "parent_asin", F.round(met, 6).alias("share"))
 
 
-def sim_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opening line of a simulated shopper for each session, from the scenario and the target's category."""
-    s = table(spark, sf_dir, "sessions").select("sample_id", "scenario_type", F.col("ground_truth.parent_asin").alias("parent_asin"))
-    card = products(spark, sf_dir).select("parent_asin", text.clean(F.get("features", F.lit(0)), 180).alias("first"))
-    rows = s.join(coarse_category(spark, sf_dir), "parent_asin").join(card, "parent_asin")
-    line = F.concat(F.lit("I'm looking for "), F.col("category"))
-    said = F.when((F.col("scenario_type") == "buying") & (F.coalesce("first", F.lit("")) != ""), F.concat(line, F.lit(". A key requirement is: "), F.col("first"), F.lit(".")))
-    return rows.select("sample_id", said.otherwise(F.concat(line, F.lit(", but I'm still exploring."))).alias("message"))
-
-
 def rank_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request how constraints change the fused ranking: items moved, and how many of the first ten are new.
 
@@ -94,7 +76,7 @@ def popularity_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    evidence_residual, grounding_shares, attribute_topk, profile_match, sim_opening, rank_sensitivity, inversions, popularity_feature)}
+    evidence_residual, grounding_shares, profile_match, rank_sensitivity, inversions, popularity_feature)}
 
 NAMED = _list(list(lex.CATEGORY_OF) + list(catalog.COLOURS) + list(catalog.MATERIALS) + FRAME)
 NON = "coalesce(regexp_matches(lower(user_message), '" + extract.NON_ANSWER.replace("'", "''") + "'), false)"
@@ -106,26 +88,12 @@ SQL = {
     "grounding_shares": f"""{pool.BASE}, {pool.SUPPORT}, g AS (SELECT request_id, max(own) AS own FROM (SELECT request_id, 1 AS own FROM said JOIN kept USING (request_id, term)
       UNION ALL SELECT request_id, (said = term)::INT FROM support WHERE support >= 0.05) GROUP BY request_id)
       SELECT CASE WHEN own = 1 THEN 'own words' WHEN own = 0 THEN 'mapped only' ELSE 'none' END AS kind, count(*) AS requests FROM messages LEFT JOIN g USING (request_id) GROUP BY 1""",
-    "attribute_topk": f"""WITH {INDEX_SQL}, {REQUESTS_SQL}, query AS (SELECT DISTINCT request_id, term FROM (SELECT request_id, unnest({TERMS_SQL}) AS term FROM requests)
-      WHERE list_contains({COLOUR_LIST}, term) OR list_contains({MATERIAL_LIST}, term)), {BM25_SQL} {TOP_SQL.format(10)}""",
     "profile_match": f"""WITH tags AS (SELECT DISTINCT ON (session_id) session_id, user_profile.preference_tags AS t FROM sessions ORDER BY session_id, sample_id),
       wanted AS (SELECT session_id, list(w) AS wanted FROM (SELECT session_id, unnest(list_distinct(t)) AS tag FROM tags) JOIN (VALUES {TAG_ROWS}) v(tag, w) USING (tag) GROUP BY session_id)
       SELECT request_id, parent_asin, round(len(list_filter(wanted, lambda w: list_has_any(w, coalesce(traits, [])))) / len(wanted), 6) AS share
       FROM (SELECT DISTINCT request_id, session_id, parent_asin FROM candidates) JOIN wanted USING (session_id) LEFT JOIN catalog_meta USING (parent_asin)""",
-    "rank_sensitivity": f"{RANK_CTE} SELECT request_id, count(*) FILTER (pool_pos != rank) AS moved, count(*) FILTER (rank <= 10 AND pool_pos > 10) AS entered FROM pool JOIN reranked USING (request_id, parent_asin) GROUP BY request_id",
+    "rank_sensitivity": f"{RANK_CTE} SELECT request_id, count(*) FILTER (pool_pos != rank) AS moved, count(*) FILTER (rank <= 10 AND coalesce(pool_pos, 11) > 10) AS entered FROM reranked LEFT JOIN pool USING (request_id, parent_asin) GROUP BY request_id",
     "inversions": f"{RANK_CTE} SELECT request_id, coalesce(min(rank) FILTER (matched = 0) < max(rank) FILTER (matched > 0), false) AS inverted FROM reranked GROUP BY request_id",
-    "popularity_feature": f"WITH {PRODUCTS_SQL}, {SIGNALS_SQL} SELECT store, parent_asin, round(popularity, 9) AS popularity, rank() OVER (PARTITION BY store ORDER BY popularity DESC NULLS LAST, parent_asin)::INT AS place FROM signals WHERE store != '' QUALIFY place <= 10",
+    "popularity_feature": f"WITH {PRODUCTS_SQL} SELECT parent_asin, CASE WHEN rating_number >= 0 THEN round(ln(1 + rating_number::DOUBLE), 9) END AS popularity FROM products",
 }
 
-
-def _opening() -> str:
-    from weftline.plans.messages import CLEAN, SQL as M
-
-    category = M["coarse_category"].split("SELECT parent_asin, ", 1)
-    return f"""{category[0].rstrip()}, categorised AS (SELECT parent_asin, {category[1]}), card AS (SELECT parent_asin, {CLEAN.format('features[1]')} AS first FROM products)
-      SELECT sample_id, CASE WHEN scenario_type = 'buying' AND coalesce(first, '') != '' THEN 'I''m looking for ' || category || '. A key requirement is: ' || first || '.'
-        ELSE 'I''m looking for ' || category || ', but I''m still exploring.' END AS message
-      FROM (SELECT sample_id, scenario_type, ground_truth.parent_asin AS parent_asin FROM sessions) JOIN categorised USING (parent_asin) JOIN card USING (parent_asin)"""
-
-
-SQL["sim_opening"] = _opening()
