@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions import extract
-from weftline.functions.text import empty, search_terms
+from weftline.functions.text import search_terms, stem
 from weftline.operators import catalog, search, vocabulary
-from weftline.plans.messages import COLOUR_LIST, MATERIAL_LIST, MESSAGES_SQL, SIZE_SQL, T_SQL, WORD_MAP, messages
-from weftline.runtime import table
+from weftline.operators.prefix import number_rows
+from weftline.plans.messages import COLOUR_LIST, MATERIAL_LIST, MESSAGES_SQL, SIZE_SQL, SQL as MESSAGE_SQL, T_SQL, WORD_MAP, messages
+from weftline.runtime import materialize, table
 
 VOCAB_SQL = "vocab AS (SELECT parent_asin, list_distinct(regexp_extract_all(lower(vocab), '\\S+')) AS terms FROM catalog_meta WHERE vocab IS NOT NULL)"
 MEMBERS_SQL = "members AS (SELECT DISTINCT request_id, parent_asin FROM candidates)"
@@ -73,8 +74,8 @@ def pool_idf_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     scored = vocabulary.idf_rerank(members(spark, sf_dir), meta_vocab(spark, sf_dir), said(spark, sf_dir), frequencies(spark, sf_dir))
     incoming = table(spark, sf_dir, "candidates").groupBy("request_id", "parent_asin").agg(F.min("pool_pos").alias("incoming"))
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc_nulls_last("incoming"), "parent_asin")
-    return scored.join(incoming, ["request_id", "parent_asin"]).withColumn("rank", F.row_number().over(order)).drop("incoming")
+    placed = materialize(scored.join(incoming, ["request_id", "parent_asin"]), "placed")
+    return number_rows(placed, "request_id", "score", [F.asc_nulls_last("incoming"), "parent_asin"], "rank").drop("incoming")
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,54 +112,47 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the message of each request alone asks for; ``weftline.plans.session`` has what a session has asked for so far."""
     m = F.col("user_message")
-    return messages(spark, sf_dir).select("request_id", extract.category(m).alias("category"), extract.colours(m).alias("colors"),
-                                          extract.materials(m).alias("materials"), extract.size(m).alias("size"))
+    return messages(spark, sf_dir).select(
+        "request_id", extract.category(m).alias("asked_category"), extract.colours(m).alias("asked_colors"), extract.materials(m).alias("asked_materials"),
+        extract.size(m).alias("asked_size"), extract.brand(m).alias("asked_brand"), extract.budget(m).alias("bounds"))
+
+
+#: Slots that are judged.
+SLOTS = ("category", "color", "material", "size", "brand", "budget")
+
+#: Weights of matches and violations, and of the popularity prior in the message's own ranking.
+MATCH, PENALTY, PRIOR = 0.4, 0.2, 0.008
 
 
 def classify_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of each candidate on each constraint of its request: match, violation, or unknown where the product says nothing."""
-    meta = table(spark, sf_dir, "catalog_meta").select("parent_asin", "colors", "materials", "cats", "sizes")
-    asked = constraints(spark, sf_dir).select("request_id", *[F.col(c).alias(f"asked_{c}") for c in ("category", "colors", "materials", "size")])
-    rows = members(spark, sf_dir).join(asked, "request_id").join(meta, "parent_asin", "left")
+    return verdicts(spark, sf_dir).select("request_id", "parent_asin", *SLOTS)
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its verdicts on all slots, null where nothing is asked, and its popularity. A brand is part of the store's name, bounds are inclusive."""
+    meta = table(spark, sf_dir, "catalog_meta").select(
+        "parent_asin", "colors", "materials", "cats", "sizes", F.lower("store").alias("store"), F.when(~F.isnan("price"), F.col("price")).alias("price"),
+        F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
+    rows = members(spark, sf_dir).join(constraints(spark, sf_dir), "request_id").join(meta, "parent_asin", "left")
     known = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    stems = F.transform(F.split("asked_category", " "), lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.left(w, F.length(w) - 1)).otherwise(w))
+    stems = F.transform(F.split("asked_category", " "), stem)
     in_path = F.forall(stems, lambda s: F.exists("cats", lambda c: c.startswith(s)))
+    outside = F.coalesce(F.col("price") < F.col("bounds.least"), F.lit(False)) | F.coalesce(F.col("price") > F.col("bounds.most"), F.lit(False))
 
     def verdict(asked, present, hit, strict=True):
         return F.when(asked, F.when(~present, "unknown").when(hit, "match").otherwise("violation" if strict else "unknown"))
 
     return rows.select(
-        "request_id", "parent_asin",
+        "request_id", "parent_asin", "popularity",
         verdict(F.col("asked_category").isNotNull(), known("cats"), in_path).alias("category"),
         verdict(F.size("asked_colors") > 0, known("colors"), F.arrays_overlap("asked_colors", "colors")).alias("color"),
         verdict(F.size("asked_materials") > 0, known("materials"), F.arrays_overlap("asked_materials", "materials")).alias("material"),
-        verdict(F.col("asked_size").isNotNull(), known("sizes"), F.array_contains("sizes", F.col("asked_size")), strict=False).alias("size"))
-
-
-SLOTS = ("category", "color", "material", "size")
-
-
-#: All slots that count for the ranking.
-SCORED = (*SLOTS, "brand", "budget")
-
-#: Fixed value: weight of the popularity prior.
-PRIOR = 0.008
-
-
-def scored_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all scored slots: those of ``classify_constraints``, the brand within the store's name, and inclusive budget bounds."""
-    m = F.col("user_message")
-    asked = messages(spark, sf_dir).select("request_id", extract.brand(m).alias("asked_brand"), extract.budget(m).alias("bounds"))
-    meta = table(spark, sf_dir, "catalog_meta").select(
-        "parent_asin", F.lower("store").alias("store"), F.when(~F.isnan("price"), F.col("price")).alias("price"), F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
-    rows = classify_constraints(spark, sf_dir).join(asked, "request_id").join(meta, "parent_asin", "left")
-    sold = F.coalesce(F.col("store") != "", F.lit(False))
-    brand = F.when(~sold, "unknown").when(F.contains("store", "asked_brand"), "match").otherwise("violation")
-    outside = F.coalesce(F.col("price") < F.col("bounds.least"), F.lit(False)) | F.coalesce(F.col("price") > F.col("bounds.most"), F.lit(False))
-    budget = F.when(F.col("price").isNull(), "unknown").when(outside, "violation").otherwise("match")
-    return rows.select("request_id", "parent_asin", *SLOTS, "popularity", F.when(F.col("asked_brand").isNotNull(), brand).alias("brand"),
-                       F.when(F.col("bounds").isNotNull(), budget).alias("budget"))
+        verdict(F.col("asked_size").isNotNull(), known("sizes"), F.array_contains("sizes", F.col("asked_size")), strict=False).alias("size"),
+        verdict(F.col("asked_brand").isNotNull(), F.coalesce(F.col("store") != "", F.lit(False)), F.contains("store", "asked_brand")).alias("brand"),
+        verdict(F.col("bounds").isNotNull(), F.col("price").isNotNull(), ~outside).alias("budget"))
 
 
 def constraint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,17 +161,17 @@ def constraint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     A candidate without a usable route score has a fused score of 0. The popularity prior, over the scale's maximum and the
     median where unknown, fades with the number of constraints.
     """
-    count = lambda v: sum((F.when(F.col(s) == v, 1).otherwise(0) for s in SCORED), F.lit(0))
-    asked = sum((F.col(s).isNotNull().cast("int") for s in SCORED), F.lit(0))
-    v = scored_constraints(spark, sf_dir).withColumn("asked", asked).withColumn("matched", count("match")).withColumn("violated", count("violation"))
+    count = lambda v: sum((F.when(F.col(s) == v, 1).otherwise(0) for s in SLOTS), F.lit(0))
+    asked = sum((F.col(s).isNotNull().cast("int") for s in SLOTS), F.lit(0))
+    v = verdicts(spark, sf_dir).withColumn("asked", asked).withColumn("matched", count("match")).withColumn("violated", count("violation"))
     meta = table(spark, sf_dir, "catalog_meta").select(F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
     fused = v.join(rrf_fusion(spark, sf_dir).drop("pool_pos"), ["request_id", "parent_asin"], "left").withColumn("fusion_score", F.coalesce("fusion_score", F.lit(0.0)))
     known = F.coalesce("popularity", "median", F.lit(0.5)) / F.coalesce("highest", F.lit(13.0))
     prior = PRIOR * F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), known)), F.lit(0.0)) / (1 + F.col("asked"))
     scored = fused.crossJoin(F.broadcast(catalog.popularity_scale(meta))).withColumn("score", F.round(  # one row
-        F.col("fusion_score") + F.when(F.col("asked") > 0, (0.4 * F.col("matched") - 0.2 * F.col("violated")) / F.col("asked")).otherwise(0.0) + prior, 9))
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("fusion_score"), "parent_asin")
-    return scored.withColumn("rank", F.row_number().over(order)).select("request_id", "parent_asin", "score", "matched", "violated", "rank")
+        F.col("fusion_score") + F.when(F.col("asked") > 0, (MATCH * F.col("matched") - PENALTY * F.col("violated")) / F.col("asked")).otherwise(0.0) + prior, 9))
+    numbered = number_rows(materialize(scored, "scored"), "request_id", "score", [F.desc("fusion_score"), "parent_asin"], "rank")
+    return numbered.select("request_id", "parent_asin", "score", "matched", "violated", "rank")
 
 
 def price_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,14 +227,16 @@ pool AS (SELECT request_id, parent_asin, fusion_score, row_number() OVER (PARTIT
 VERDICTS = f"""asked AS (SELECT request_id, list_filter(list_transform(t, lambda t: {WORD_MAP}[t]), lambda c: c IS NOT NULL)[1] AS a_category,
     list_distinct(list_transform(list_filter(t, lambda t: list_contains({COLOUR_LIST}, t)), lambda c: CASE WHEN c = 'grey' THEN 'gray' ELSE c END)) AS a_colors,
     list_distinct(list_filter(t, lambda t: list_contains({MATERIAL_LIST}, t))) AS a_materials FROM (SELECT request_id, {T_SQL} AS t FROM messages)),
-sized AS (SELECT * FROM ({{size}})),
+sized AS (SELECT * FROM ({{size}})), branded AS ({MESSAGE_SQL['extract_brand']}), bounded AS ({MESSAGE_SQL['extract_budget']}),
 verdicts_of AS (SELECT request_id, parent_asin,
   CASE WHEN a_category IS NOT NULL THEN CASE WHEN coalesce(len(cats), 0) = 0 THEN 'unknown' WHEN len(list_filter(list_transform(string_split(a_category, ' '),
     lambda w: CASE WHEN length(w) > 3 AND suffix(w, 's') THEN left(w, length(w) - 1) ELSE w END), lambda s: len(list_filter(cats, lambda c: starts_with(c, s))) = 0)) = 0 THEN 'match' ELSE 'violation' END END AS category,
   CASE WHEN len(a_colors) > 0 THEN CASE WHEN coalesce(len(colors), 0) = 0 THEN 'unknown' WHEN list_has_any(a_colors, colors) THEN 'match' ELSE 'violation' END END AS color,
   CASE WHEN len(a_materials) > 0 THEN CASE WHEN coalesce(len(materials), 0) = 0 THEN 'unknown' WHEN list_has_any(a_materials, materials) THEN 'match' ELSE 'violation' END END AS material,
-  CASE WHEN size IS NOT NULL THEN CASE WHEN coalesce(len(sizes), 0) > 0 AND list_contains(sizes, size) THEN 'match' ELSE 'unknown' END END AS size
-  FROM members JOIN asked USING (request_id) JOIN sized USING (request_id) LEFT JOIN catalog_meta USING (parent_asin))"""
+  CASE WHEN size IS NOT NULL THEN CASE WHEN coalesce(len(sizes), 0) > 0 AND list_contains(sizes, size) THEN 'match' ELSE 'unknown' END END AS size,
+  CASE WHEN brand IS NOT NULL THEN CASE WHEN coalesce(store, '') = '' THEN 'unknown' WHEN contains(lower(store), brand) THEN 'match' ELSE 'violation' END END AS brand,
+  CASE WHEN least IS NOT NULL OR most IS NOT NULL THEN CASE WHEN price IS NULL OR isnan(price) THEN 'unknown' WHEN price < least OR price > most THEN 'violation' ELSE 'match' END END AS budget
+  FROM members JOIN asked USING (request_id) JOIN sized USING (request_id) JOIN branded USING (request_id) JOIN bounded USING (request_id) LEFT JOIN catalog_meta USING (parent_asin))"""
 
 
 def _verdicts() -> str:
@@ -260,7 +256,10 @@ SQL = {
     "pool_vocabulary": f"{BASE} SELECT * FROM kept",
     "vocab_noise": f"{BASE} SELECT request_id, count(*) FILTER (pool >= 8 AND df < 2) AS rare, count(*) FILTER (pool >= 8 AND df >= 2 AND df > pool * 0.8) AS common, count(*) FILTER (pool < 8 OR (df >= 2 AND df <= pool * 0.8)) AS kept FROM frequencies GROUP BY request_id",
     "most_discriminative": f"{BASE} SELECT request_id, term, df, row_number() OVER (PARTITION BY request_id ORDER BY abs(df / pool - 0.5), df DESC, term)::INT AS rank FROM kept QUALIFY rank <= 10",
-    "pool_idf_rerank": f"{BASE}, scored AS (SELECT request_id, parent_asin, round(sum(ln(pool / (1.0::DOUBLE + df))), 6) AS score FROM (SELECT request_id, parent_asin, unnest(terms) AS term FROM members JOIN vocab USING (parent_asin)) JOIN said USING (request_id, term) JOIN kept USING (request_id, term) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, parent_asin)::INT AS rank FROM scored",
+    "pool_idf_rerank": f"""{BASE}, scored AS (SELECT request_id, parent_asin, round(sum(ln(pool / (1.0::DOUBLE + df))), 6) AS score FROM (SELECT request_id, parent_asin, unnest(terms) AS term FROM members JOIN vocab USING (parent_asin))
+      JOIN said USING (request_id, term) JOIN kept USING (request_id, term) GROUP BY ALL), incoming AS (SELECT request_id, parent_asin, min(pool_pos) AS place FROM candidates GROUP BY ALL)
+      SELECT request_id, parent_asin, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(score, 0) DESC, place NULLS LAST, parent_asin)::INT AS rank
+      FROM incoming LEFT JOIN scored USING (request_id, parent_asin)""",
     "term_weights": f"{BASE} SELECT term, count(*) AS pools, round(sum(ln(pool / (1.0::DOUBLE + df))), 6) AS weight FROM said JOIN kept USING (request_id, term) GROUP BY term",
     "grounding_support": f"{BASE}, {SUPPORT} SELECT * FROM support",
     "ground_terms": f"{BASE}, {SUPPORT} SELECT request_id, term AS said, term FROM said JOIN kept USING (request_id, term) UNION SELECT request_id, said, term FROM support WHERE support >= 0.05",
@@ -268,7 +267,12 @@ SQL = {
     "classify_constraints": f"WITH {MEMBERS_SQL}, {MESSAGES_SQL}, {_verdicts()} SELECT * FROM verdicts_of",
     "constraint_rank": f"""WITH {MEMBERS_SQL}, {MESSAGES_SQL}, {_verdicts()}, {FUSED_SQL}, counted AS (SELECT request_id, parent_asin,
       {' + '.join(f'({s} IS NOT NULL)::INT' for s in SLOTS)} AS asked, {' + '.join(f"coalesce({s} = 'match', false)::INT" for s in SLOTS)} AS matched, {' + '.join(f"coalesce({s} = 'violation', false)::INT" for s in SLOTS)} AS violated FROM verdicts_of),
-      scored AS (SELECT request_id, parent_asin, fusion_score, matched, violated, round(fusion_score + CASE WHEN asked > 0 THEN (0.4::DOUBLE * matched - 0.2::DOUBLE * violated) / asked ELSE 0.0 END, 9) AS score FROM pool JOIN counted USING (request_id, parent_asin))
+      known AS (SELECT popularity AS v FROM catalog_meta WHERE popularity IS NOT NULL AND NOT isnan(popularity)),
+      scale AS (SELECT round(max(v), 9) AS highest, round(list_sort(list(v))[count(*)::BIGINT // 2 + 1], 9) AS median FROM known),
+      norms AS (SELECT parent_asin, CASE WHEN NOT isnan(popularity) THEN popularity END AS p FROM catalog_meta),
+      scored AS (SELECT request_id, parent_asin, coalesce(fusion_score, 0) AS fusion_score, matched, violated, round(coalesce(fusion_score, 0) + CASE WHEN asked > 0 THEN (0.4::DOUBLE * matched - 0.2::DOUBLE * violated) / asked ELSE 0.0 END
+        + 0.008::DOUBLE * least(1.0, greatest(0.0, coalesce(p, median, 0.5) / coalesce(highest, 13.0))) / (1 + asked), 9) AS score
+        FROM counted LEFT JOIN pool USING (request_id, parent_asin) LEFT JOIN norms USING (parent_asin), scale)
       SELECT request_id, parent_asin, score, matched, violated, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, fusion_score DESC, parent_asin)::INT AS rank FROM scored""",
     "price_buckets": PRICE_SQL,
     "pool_shape": "SELECT request_id, count(*) AS n_rows, count(DISTINCT parent_asin) AS products, count(*) FILTER (coalesce(cardinality(route_scores), 0) = 0) AS without_routes, round(avg(coalesce(cardinality(route_scores), 0)), 6) AS mean_routes FROM candidates GROUP BY request_id",
