@@ -74,25 +74,35 @@ def judged(rows: DataFrame, reliability: dict[str, float] | None = None) -> Data
     return rows.withColumn("verdicts", F.filter(each, lambda v: v["verdict"].isNotNull()))
 
 
+def _column(x) -> Column:
+    """A setting as a column: the same for all rows, or one of each row (an arm of a comparison)."""
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 def scored(rows: DataFrame, config: Config, highest: float | None, median: float | None) -> DataFrame:
     """Add the parts of the score and ``final_score`` to rows with ``verdicts``, ``base_score``, ``popularity`` and ``profile_match``.
 
     ``final = base + match weight * matched share - penalty weight * violated share + profile + popularity``. Shares are of all
-    active constraints, unknown ones included. Popularity fades with the summed confidence of what was asked.
+    active constraints, unknown ones included. Popularity fades with the summed confidence of what was asked. The settings of
+    ``config`` may be columns.
     """
+    c = {k: _column(getattr(config, k)) for k in ("confidence", "match_weight", "penalty_weight", "profile", "profile_weight", "popularity", "popularity_weight", "decay")}
     n = F.size("verdicts")
-    weight = lambda v: v["weight"] if config.confidence else F.lit(1.0)
-    total = lambda kind: F.aggregate(F.filter("verdicts", lambda v: v["verdict"] == kind), F.lit(0.0), lambda a, v: a + weight(v))
+
+    def total(kind: str) -> Column:
+        of = F.filter("verdicts", lambda v: v["verdict"] == kind)
+        return F.when(c["confidence"], F.aggregate(of, F.lit(0.0), lambda a, v: a + v["weight"])).otherwise(F.size(of).cast("double"))
+
     part = lambda kind, w: F.when(n > 0, w * total(kind) / n).otherwise(0.0)
     evidence = F.aggregate("verdicts", F.lit(0.0), lambda a, v: a + v["confidence"])
     known = F.coalesce(F.when(~F.isnan("popularity"), F.col("popularity")), F.lit(median)) / F.lit(highest if highest and highest > 0 else SCALE)
     norm = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), known)), F.lit(MEDIAN))
-    on = config.popularity and highest is not None
+    prior = c["popularity_weight"] * norm / F.when(c["decay"], 1 + evidence).otherwise(1.0) if highest is not None else F.lit(0.0)
     named = lambda kind: F.transform(F.filter("verdicts", lambda v: v["verdict"] == kind), lambda v: v["slot"])
     out = (
-        rows.withColumn("attribute_score", part("match", config.match_weight)).withColumn("violation_penalty", part("violation", config.penalty_weight))
-        .withColumn("profile_score", F.coalesce(F.col("profile_match"), F.lit(0.0)) * (config.profile_weight if config.profile else 0.0))
-        .withColumn("popularity_score", config.popularity_weight * norm / (1 + evidence if config.decay else F.lit(1.0)) if on else F.lit(0.0))
+        rows.withColumn("attribute_score", part("match", c["match_weight"])).withColumn("violation_penalty", part("violation", c["penalty_weight"]))
+        .withColumn("profile_score", F.when(c["profile"], F.coalesce(F.col("profile_match"), F.lit(0.0)) * c["profile_weight"]).otherwise(0.0))
+        .withColumn("popularity_score", F.when(c["popularity"], prior).otherwise(0.0))
         .withColumn("matched", named("match")).withColumn("violated", named("violation")))
     final = F.col("base_score") + F.col("attribute_score") - F.col("violation_penalty") + F.col("profile_score") + F.col("popularity_score")
     return out.withColumn("final_score", F.round(final, 9))
@@ -106,8 +116,8 @@ def ranked(rows: DataFrame, group: str = "request_id") -> DataFrame:
 # -- reranking -------------------------------------------------------------------------------------------------------------
 
 
-def heads(rows: DataFrame, group: str, window: int) -> DataFrame:
-    """``group, ids``: the ids of the first ``window`` ranks, in order; ``window`` bounds the array."""
+def heads(rows: DataFrame, group: str, window) -> DataFrame:
+    """``group, ids``: the ids of the first ``window`` ranks, in order; ``window``, a number or a column, bounds the array."""
     first = rows.filter(F.col("rank") <= window).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "parent_asin"))).alias("h"))
     return first.select(group, F.transform("h", lambda x: x["parent_asin"]).alias("ids"))
 

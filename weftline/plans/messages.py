@@ -91,16 +91,6 @@ def coarse_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).select("parent_asin", F.when(F.size(kept) > 0, F.concat_ws(" ", last)).otherwise("clothing item").alias("category"))
 
 
-def intent_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard and soft constraints a shopper of each product would have: the first four different cleaned features, else the title."""
-    cleaned = F.array_distinct(F.filter(F.transform(F.coalesce("features", text.empty()), lambda f: text.clean(f, 180)), lambda f: f != ""))
-    title = text.clean(F.coalesce("title", F.lit("product")), 180)
-    all_ = F.when(F.size(cleaned) > 0, cleaned).otherwise(F.array(title))
-    soft = F.slice(all_, 3, 2)
-    return products(spark, sf_dir).select(
-        "parent_asin", title.alias("target"), F.slice(all_, 1, 2).alias("hard"), F.when(F.size(soft) > 0, soft).otherwise(F.slice(all_, 1, 1)).alias("soft"))
-
-
 def product_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.operators.vocabulary import product_terms as terms
 
@@ -114,7 +104,7 @@ def extract_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scan_catalog, dedup_last_wins, flatten_text, searchable_text, clean_constraint, stem, catalog_signals, slot_coverage, popularity_scale,
-    popularity_norm, coarse_category, intent_card, product_terms, extract_budget)} | {
+    popularity_norm, coarse_category, product_terms, extract_budget)} | {
     "tokenize_terms": _of_message("terms", text.search_terms),
     "extract_category": _of_message("category", extract.category),
     "extract_color": _of_message("colors", extract.colours),
@@ -167,7 +157,6 @@ KIND_SQL = """CASE WHEN contains(lower(feature), 'budget') OR regexp_matches(low
   WHEN regexp_matches(lower(feature), 'department|style|fit|sleeve|neck') THEN 'style'
   WHEN regexp_matches(lower(feature), 'hiking|running|gym|winter|outdoor|work') THEN 'use_case' ELSE 'feature' END"""
 SIZE_SQL = f"SELECT request_id, coalesce({CODE_MAP}[raw], raw) AS size FROM (SELECT request_id, coalesce({_hit(extract.SIZED)}, {_hit(extract.BARE_SIZE)}) AS raw FROM messages)"
-DISTINCT_CLEAN = FIRST.format("c")
 SQL = {
     "scan_catalog": PRO + "title, store, average_rating, rating_number FROM products",
     "dedup_last_wins": r"""SELECT parent_asin, line_no, received_at FROM (
@@ -185,9 +174,6 @@ SQL = {
     "coarse_category": PRO + """CASE WHEN len(k) > 0 THEN array_to_string(k[greatest(len(k) - 1, 1):], ' ') ELSE 'clothing item' END AS category FROM (
       SELECT parent_asin, coalesce(list_filter(list_transform(flatten(list_transform(categories, lambda c: string_split(c, ','))), lambda c: trim(c)),
         lambda c: c != '' AND NOT list_contains(['clothing', 'clothing shoes & jewelry', 'clothing, shoes & jewelry'], lower(c))), []) AS k FROM products)""",
-    "intent_card": PRO + f"""target, a[1:2] AS hard, CASE WHEN len(a) > 2 THEN a[3:4] ELSE a[1:1] END AS soft FROM (
-      SELECT parent_asin, target, CASE WHEN len(c) > 0 THEN {DISTINCT_CLEAN} ELSE [target] END AS a FROM (
-        SELECT parent_asin, {CLEAN.format("coalesce(title, 'product')")} AS target, coalesce(list_filter(list_transform(features, lambda f: {CLEAN.format('f')}), lambda f: f != ''), []) AS c FROM products))""",
     "product_terms": PRO + f"""{FIRST.format('t')}[1:40] AS terms FROM (SELECT parent_asin, list_filter(regexp_extract_all(lower(concat_ws(' ', {TEXTS_SQL['title']}, {TEXTS_SQL['categories']},
       {TEXTS_SQL['features']}, {TEXTS_SQL['description']})), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT regexp_matches(w, '[0-9]') AND NOT list_contains({STOP_SQL}, w)
       AND NOT list_contains({_list(LISTING_WORDS)}, w)) AS t FROM products)""",
