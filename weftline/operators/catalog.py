@@ -21,6 +21,16 @@ FIELDS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5, "sto
 SIZE = r"\bsize\b[:\s]*([0-9]{1,2}(?:\.5)?|xxs|xs|s|m|l|xl|xxl|xxxl)\b"
 
 
+#: Preference tags and the trait words of products that meet them.
+TAG_TRAITS = {
+    "warmth": ["warm", "insulated", "thermal", "fleece", "sherpa", "winter", "cozy"],
+    "weather": ["waterproof", "water", "resistant", "rain", "windproof", "weatherproof"],
+    "performance": ["athletic", "performance", "training", "sport", "running", "workout", "wicking", "breathable"],
+    "durability": ["durable", "rugged", "reinforced", "sturdy", "heavy", "lasting"],
+    "comfort": ["comfortable", "comfort", "soft", "cushioned", "padded", "lightweight"],
+}
+
+
 def products(items: DataFrame) -> DataFrame:
     """One row per ``parent_asin``. Repeated rows are unchanged copies, so any of them stands for all."""
     return items.dropDuplicates(["parent_asin"])
@@ -64,6 +74,17 @@ def signals(p: DataFrame) -> DataFrame:
         popularity("rating_number").alias("popularity"))
 
 
+def product_meta(p: DataFrame) -> DataFrame:
+    """Signals with ``traits``, the words of preference tags a product's texts have, and ``vocab``, its terms separated by blanks."""
+    from weftline.operators.vocabulary import product_terms
+
+    text = F.lower(F.concat_ws(" ", *[field_texts(p)[f] for f in ("title", "categories", "store", "features", "details", "description")]))
+    tokens = F.regexp_extract_all(text, F.lit("[a-z0-9.]+"), F.lit(0))
+    words = strings(*dict.fromkeys(w for ws in TAG_TRAITS.values() for w in ws))
+    more = p.select("parent_asin", F.array_sort(F.array_distinct(F.array_intersect(tokens, words))).alias("traits"), F.concat_ws(" ", product_terms(p)).alias("vocab"))
+    return signals(p).join(more, "parent_asin")
+
+
 def popularity(count: str) -> Column:
     """``log1p`` of a count; null for a missing or negative one."""
     return F.when(F.col(count) >= 0, F.log1p(count))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import extract, lexicon as lex, text
 from weftline.operators import catalog
+from weftline.operators.catalog import TAG_TRAITS
 from weftline.plans import pool
 from weftline.plans.messages import FIRST, MESSAGES_SQL, SIGNALS_SQL, T_SQL, _list, messages, products
 from weftline.plans.search import PRODUCTS_SQL
@@ -14,16 +15,6 @@ from weftline.runtime import table
 #: Words of a message that mark slots, corrections or the act of shopping, and carry no wish of their own.
 FRAME = [*lex.MARKER_WORDS, *lex.CORRECTION_WORDS, *lex.FRAMING_WORDS]
 
-#: Preference tags and the trait words of products that meet them.
-TAG_TRAITS = {
-    "warmth": ["warm", "insulated", "thermal", "fleece", "sherpa", "winter", "cozy"],
-    "weather": ["waterproof", "water", "resistant", "rain", "windproof", "weatherproof"],
-    "performance": ["athletic", "performance", "training", "sport", "running", "workout", "wicking", "breathable"],
-    "durability": ["durable", "rugged", "reinforced", "sturdy", "heavy", "lasting"],
-    "comfort": ["comfortable", "comfort", "soft", "cushioned", "padded", "lightweight"],
-}
-
-
 def evidence_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each request that no slot and no framing accounts for; a non-answer leaves none."""
     m = F.col("user_message")

@@ -61,6 +61,11 @@ def catalog_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.signals(products(spark, sf_dir)).withColumn("popularity", F.round("popularity", 9))
 
 
+def product_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of signals that ranking and reranking look up, built from the catalogue."""
+    return catalog.product_meta(products(spark, sf_dir)).withColumn("popularity", F.round("popularity", 9))
+
+
 def slot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.coverage(catalog.signals(products(spark, sf_dir)))
 
@@ -83,12 +88,16 @@ HIGHEST, MEDIAN = 13.0, 0.5
 
 
 def coarse_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last two parts of the category path that aren't general."""
+    return coarse_columns(products(spark, sf_dir))
+
+
+def coarse_columns(p: DataFrame) -> DataFrame:
+    """``parent_asin, category``: the last two parts of the category path that aren't general."""
     general = text.strings(*GENERAL_PARTS)
     parts = F.transform(F.flatten(F.transform("categories", lambda c: F.split(c, ","))), lambda c: F.trim(c))
     kept = F.coalesce(F.filter(parts, lambda c: (c != "") & ~F.array_contains(general, F.lower(c))), text.empty())
     last = F.slice(kept, F.greatest(F.size(kept) - 1, F.lit(1)), F.lit(2))
-    return products(spark, sf_dir).select("parent_asin", F.when(F.size(kept) > 0, F.concat_ws(" ", last)).otherwise("clothing item").alias("category"))
+    return p.select("parent_asin", F.when(F.size(kept) > 0, F.concat_ws(" ", last)).otherwise("clothing item").alias("category"))
 
 
 def product_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +112,7 @@ def extract_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_catalog, dedup_last_wins, flatten_text, searchable_text, clean_constraint, stem, catalog_signals, slot_coverage, popularity_scale,
+    scan_catalog, dedup_last_wins, flatten_text, searchable_text, clean_constraint, stem, catalog_signals, product_meta, slot_coverage, popularity_scale,
     popularity_norm, coarse_category, product_terms, extract_budget)} | {
     "tokenize_terms": _of_message("terms", text.search_terms),
     "extract_category": _of_message("category", extract.category),
@@ -167,6 +176,7 @@ SQL = {
     "clean_constraint": f"WITH {PRODUCTS_SQL} SELECT parent_asin, (pos - 1)::INT AS pos, {CLEAN.format('feature')} AS cleaned, {KIND_SQL} AS kind FROM (SELECT parent_asin, unnest(features) AS feature, generate_subscripts(features, 1) AS pos FROM products)",
     "stem": f"WITH {MESSAGES_SQL} SELECT term, count(*) AS n, {STEM_SQL} AS stem FROM (SELECT unnest({TERMS_SQL}) AS term FROM messages) GROUP BY term",
     "catalog_signals": f"WITH {PRODUCTS_SQL}, {SIGNALS_SQL} SELECT * REPLACE (round(popularity, 9) AS popularity) FROM signals",
+    "product_meta": "",
     "slot_coverage": f"WITH {PRODUCTS_SQL}, {SIGNALS_SQL} SELECT slot, round(c, 9) AS coverage, round(least(1.0, greatest(0.1, c)), 9) AS reliability FROM (" + " UNION ALL ".join(
         COVER.format(*x) for x in (("category", "len(cats) > 0"), ("brand", "store != ''"), ("material", "len(materials) > 0"), ("color", "len(colors) > 0"), ("size", "len(sizes) > 0"), ("budget", "price IS NOT NULL"))) + ")",
     "popularity_scale": f"WITH {PRODUCTS_SQL}, {SIGNALS_SQL}, {SCALE_SQL} SELECT * FROM scale",
@@ -192,3 +202,7 @@ SQL = {
         WHEN list_has_any(t, {_list((*lex.REQUIREMENT_WORDS, *lex.HEDGES))}) THEN 0.4 WHEN coalesce(regexp_matches(lower(user_message), {_q(lex.REPLACE_CUE)}), false) THEN 0.9 ELSE 0.7 END AS confidence FROM said""",
     "is_non_answer": MSG + f"coalesce(regexp_matches({LOW}, {_q(extract.NON_ANSWER)}), false) AS non_answer FROM messages",
 }
+_traits = _list(dict.fromkeys(w for words in catalog.TAG_TRAITS.values() for w in words))
+SQL["product_meta"] = f"""WITH {PRODUCTS_SQL}, {SIGNALS_SQL}, named AS ({SQL['product_terms'].split('WITH ' + PRODUCTS_SQL, 1)[1].strip()}),
+  traited AS (SELECT parent_asin, list_sort(list_distinct(list_filter({TOK}, lambda t: list_contains({_traits}, t)))) AS traits FROM products)
+  SELECT signals.* REPLACE (round(popularity, 9) AS popularity), traits, array_to_string(terms, ' ') AS vocab FROM signals JOIN named USING (parent_asin) JOIN traited USING (parent_asin)"""

@@ -8,7 +8,7 @@ from weftline.config import CODED, Config
 from weftline.functions import extract, lexicon as lex
 from weftline.functions.text import STOPWORDS, empty, search_terms, strings
 from weftline.operators import catalog, metrics, ranked as rk, session as ss, vocabulary
-from weftline.plans.dialogue import TAG_TRAITS
+from weftline.operators.catalog import TAG_TRAITS
 from weftline.plans.evaluation import target_ranks, targets
 from weftline.plans.messages import messages, products
 from weftline.plans.pool import members, meta_vocab, rrf_fusion
@@ -201,8 +201,12 @@ def session_rows(spark: SparkSession, sf_dir: str, states: DataFrame, config: Co
 
 
 def profile_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags_of(table(spark, sf_dir, "sessions"))
+
+
+def tags_of(sessions: DataFrame) -> DataFrame:
     """``session_id, wanted``: the trait words of each mapped preference tag of a session's first sample."""
-    tags = table(spark, sf_dir, "sessions").groupBy("session_id").agg(F.min_by(F.struct("user_profile.preference_tags"), "sample_id").alias("p"))
+    tags = sessions.groupBy("session_id").agg(F.min_by(F.struct("user_profile.preference_tags"), "sample_id").alias("p"))
     named = F.array_distinct(F.transform(F.filter("p.preference_tags", lambda t: t.isNotNull()), lambda t: F.lower(F.trim(t))))
     words = F.create_map(*[x for tag, ws in TAG_TRAITS.items() for x in (F.lit(tag), strings(*ws))])
     wanted = F.filter(F.transform(named, lambda t: F.try_element_at(words, t)), lambda w: w.isNotNull())
