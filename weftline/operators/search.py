@@ -142,3 +142,56 @@ def tf_idf_cosine(terms: DataFrame, key: str, index: DataFrame, n: int) -> DataF
     dots = query.join(vectors, "term").groupBy(key, "parent_asin").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
     return dots.join(norms, "parent_asin").join(query_norms, key).select(
         key, "parent_asin", F.round(F.col("dot") / F.col("norm") / F.col("query_norm"), 6).alias("score"))
+
+
+#: Queries of a block, and copies of each block that data is spread over.
+BLOCK, SALTS = 2048, 32
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
+    """``vec_id, neighbour, score, rank``: the ``k`` nearest others by cosine of every vector that ``asked`` holds for.
+
+    The stated queries go in blocks of about ``BLOCK`` against batches of all vectors, a matrix product for each; a batch gives
+    the best ``k`` of each query only. Blocks and batches meet by equal keys, salted, so that no task has all of a block.
+    Defined results: vectors of no length, null ones and those with other numbers of dimensions than the query have no cosine.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    queries = rows.filter(asked)
+    blocks = -(-queries.count() // BLOCK) or 1
+    grouped = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+    copies = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def batches(parts):
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([b.column(1).to_pylist()], pa.list_(pa.list_(pa.float64())))], names=["ids", "vs"])
+
+    data = rows.mapInArrow(batches, "ids array<bigint>, vs array<array<double>>").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
+    met = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(copies, ["block", "salt"])
+
+    def unit(vs: list, size: int):
+        m = np.array([v if len(v) == size else [np.nan] * size for v in vs], float).reshape(len(vs), size)
+        with np.errstate(all="ignore"):
+            return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    def products(parts):
+        for b in parts:
+            found = []
+            for ids, vs, asked_for in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("ids", "vs", "queries"))):
+                for size in {len(q["v"]) for q in asked_for}:
+                    mine = [q for q in asked_for if len(q["v"]) == size]
+                    scores = np.round(unit([q["v"] for q in mine], size) @ unit(vs, size).T, 6)
+                    for q, line in zip(mine, scores):
+                        near = sorted((-s, i) for s, i in zip(line.tolist(), ids) if s == s and i != q["vec_id"])[:k] if len(ids) <= 4 * k else None
+                        if near is None:
+                            line = np.where(np.isnan(line) | (np.array(ids) == q["vec_id"]), -np.inf, line)
+                            edge = np.partition(line, -k)[-k]
+                            near = sorted((-line[j], ids[j]) for j in np.flatnonzero((line >= edge) & np.isfinite(line)))[:k]
+                        found += [(q["vec_id"], i, -float(s)) for s, i in near]
+            columns = list(zip(*found)) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["vec_id", "parent_asin", "score"])
+
+    scored = met.select("ids", "vs", "queries").mapInArrow(products, "vec_id bigint, parent_asin bigint, score double")
+    return top(scored, "vec_id", k).withColumnRenamed("parent_asin", "neighbour")
