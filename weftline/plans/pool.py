@@ -50,10 +50,11 @@ def pool_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per pool how many terms are kept, too rare and too common."""
+    """Per pool how many terms are kept, too rare, too common, and beyond the most that a pool keeps."""
     f, big = frequencies(spark, sf_dir), F.col("pool") >= vocabulary.LEAST_POOL
     rare, common = big & (F.col("df") < vocabulary.LEAST_DF), big & (F.col("df") > F.col("pool") * vocabulary.LARGEST_SHARE)
-    return f.groupBy("request_id").agg(F.count_if(rare).alias("rare"), F.count_if(common & ~rare).alias("common"), F.count_if(~rare & ~common).alias("kept"))
+    return f.groupBy("request_id").agg(F.count_if(rare).alias("rare"), F.count_if(common & ~rare).alias("common"), F.count_if(~rare & ~common).alias("held")).select(
+        "request_id", "rare", "common", F.least("held", F.lit(vocabulary.MOST_TERMS)).cast("bigint").alias("kept"), F.greatest(F.col("held") - vocabulary.MOST_TERMS, F.lit(0)).cast("bigint").alias("over_limit"))
 
 
 def most_discriminative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +255,7 @@ SQL = {
     "meta_lookup": f"WITH {MEMBERS_SQL} SELECT m.request_id, m.parent_asin, colors, materials, cats, store, sizes, CASE WHEN NOT isnan(price) THEN price END AS price, popularity FROM members m LEFT JOIN catalog_meta USING (parent_asin)",
     "pool_terms": f"WITH {MEMBERS_SQL}, {VOCAB_SQL} SELECT request_id, parent_asin, len(terms) AS n_terms FROM members LEFT JOIN vocab USING (parent_asin)",
     "pool_vocabulary": f"{BASE} SELECT * FROM kept",
-    "vocab_noise": f"{BASE} SELECT request_id, count(*) FILTER (pool >= 8 AND df < 2) AS rare, count(*) FILTER (pool >= 8 AND df >= 2 AND df > pool * 0.8) AS common, count(*) FILTER (pool < 8 OR (df >= 2 AND df <= pool * 0.8)) AS kept FROM frequencies GROUP BY request_id",
+    "vocab_noise": f"{BASE} SELECT request_id, rare, common, least(held, 1500) AS kept, greatest(held - 1500, 0) AS over_limit FROM (SELECT request_id, count(*) FILTER (pool >= 8 AND df < 2) AS rare, count(*) FILTER (pool >= 8 AND df >= 2 AND df > pool * 0.8) AS common, count(*) FILTER (pool < 8 OR (df >= 2 AND df <= pool * 0.8)) AS held FROM frequencies GROUP BY request_id)",
     "most_discriminative": f"{BASE} SELECT request_id, term, df, row_number() OVER (PARTITION BY request_id ORDER BY abs(df / pool - 0.5), df DESC, term)::INT AS rank FROM kept QUALIFY rank <= 10",
     "pool_idf_rerank": f"""{BASE}, scored AS (SELECT request_id, parent_asin, round(sum(ln(pool / (1.0::DOUBLE + df))), 6) AS score FROM (SELECT request_id, parent_asin, unnest(terms) AS term FROM members JOIN vocab USING (parent_asin))
       JOIN said USING (request_id, term) JOIN kept USING (request_id, term) GROUP BY ALL), incoming AS (SELECT request_id, parent_asin, min(pool_pos) AS place FROM candidates GROUP BY ALL)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.config import CODED, Config
-from weftline.functions import lexicon as lex
+from weftline.functions import extract, lexicon as lex
 from weftline.functions.text import strings
 from weftline.operators import catalog, metrics, search, shopper, simulate as sim
 from weftline.plans.messages import CLEAN, FIRST, GENERAL_PARTS, KIND_SQL, SQL as MESSAGE_SQL, coarse_category, products
@@ -195,8 +195,35 @@ def miss_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample_id", "turn", why.alias("why"))
 
 
+def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scenario, how sessions recover: those that needed a candidate after an informative answer and got it, turns it took, and turns from a change of mind to the pool."""
+    _, turns = run(spark, sf_dir)
+    eligible = turns.filter("eligible")
+    informative = (F.col("turn") > 1) & ~extract.is_non_answer(F.col("message"))
+    first = eligible.groupBy("sample_id", "scenario_type").agg(
+        F.min("turn").alias("from"), F.min(F.when(informative, F.col("turn"))).alias("answer"), F.min(F.when(F.col("pool_pos").isNotNull(), F.col("turn"))).alias("pool"),
+        F.min(F.when(F.col("rank") <= 10, F.col("turn"))).alias("shown"))
+    needed = F.col("answer").isNotNull() & (F.col("pool").isNull() | (F.col("pool") >= F.col("answer")))
+    late = F.col("pool") - F.col("from")
+    override = F.col("scenario_type") == "intent_override"
+    return first.groupBy("scenario_type").agg(
+        F.count("*").alias("sessions"), F.count_if(needed).alias("needed"), F.count_if(needed & F.col("pool").isNotNull()).alias("recovered"), F.count_if(needed & F.col("pool").isNull()).alias("failed"),
+        F.round(F.avg(F.when(needed, F.col("pool") - F.col("answer"))), 6).alias("mean_latency"), F.round(F.avg(F.col("shown") - F.col("pool")), 6).alias("mean_delay"),
+        F.count_if(override & (late <= 0)).alias("override_0"), F.count_if(override & (late == 1)).alias("override_1"), F.count_if(override & (late > 1)).alias("override_later"),
+        F.count_if(override & F.col("pool").isNull()).alias("override_failed"))
+
+
+def movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reranking does to the target on eligible turns: mean places, up, down, into and out of the first ten, and how the stage ended."""
+    _, turns = run(spark, sf_dir)
+    before, after = F.col("rank_before"), F.col("rank")
+    return turns.filter("eligible AND rank IS NOT NULL").groupBy("outcome").agg(
+        F.count("*").alias("turns"), F.round(F.avg(before), 6).alias("mean_before"), F.round(F.avg(after), 6).alias("mean_after"), F.count_if(after < before).alias("up"), F.count_if(after > before).alias("down"),
+        F.count_if((before > 10) & (after <= 10)).alias("into_ten"), F.count_if((before <= 10) & (after > 10)).alias("out_of_ten"))
+
+
 QUERIES = {f.__name__: f for f in (
-    intent_card, sim_opening, undisclosed, sim_reply, sim_override, first_scoring_turn, simulate_sessions, simulated_turns, ablation, param_sweep, gate, ceiling, depth_gate, miss_class)}
+    recovery, movement, intent_card, sim_opening, undisclosed, sim_reply, sim_override, first_scoring_turn, simulate_sessions, simulated_turns, ablation, param_sweep, gate, ceiling, depth_gate, miss_class)}
 
 _text = "concat_ws(' ', " + ", ".join(TEXTS_SQL[f] for f in ("title", "features", "details", "description", "categories", "store")) + ")"
 _find = lambda words: f"nullif(lower(regexp_extract({_text}, '(?i)\\b({words})\\b', 1)), '')"
