@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.operators.prefix import below_each
 from weftline.functions.text import all_terms, clean, empty, flatten_array, flatten_map, search_terms, stem, strings  # noqa: F401
 
 #: Colours and materials that the ranker knows, with the spelling a colour is counted under.
@@ -93,14 +94,15 @@ def popularity(count: str) -> Column:
 def popularity_scale(s: DataFrame) -> DataFrame:
     """Maximum and upper median of the known popularities.
 
-    The median is found by counting from distinct values, so no task sees more than the distinct values of a log of an
-    integer, and nothing is collected.
+    The median is found by counting from distinct values, in steps of their scale, so that neither a list nor a window of all
+    values is made.
     """
     counts = s.filter(F.col("popularity").isNotNull()).groupBy("popularity").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.max("popularity").alias("highest"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("popularity")))
-    middle = upto.join(F.broadcast(total), F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("popularity").alias("median"), F.max("highest").alias("highest"))
-    return middle.select(F.round("highest", 9).alias("highest"), F.round("median", 9).alias("median"))
+    placed = below_each(counts, "popularity", "n", "below").crossJoin(F.broadcast(total))  # one row
+    middle = placed.filter((F.col("below") <= F.floor(F.col("all") / 2)) & (F.col("below") + F.col("n") > F.floor(F.col("all") / 2)))
+    found = middle.agg(F.min("popularity").alias("median"), F.max("highest").alias("highest"))
+    return found.select(F.round("highest", 9).alias("highest"), F.round("median", 9).alias("median"))
 
 
 def coverage(s: DataFrame) -> DataFrame:

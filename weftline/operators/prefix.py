@@ -136,3 +136,17 @@ def number_rows(df: DataFrame, group: str, value: str, ties: list[Column | str],
     numbered = sliced.select(*df.columns, "slice", F.row_number().over(inside).alias("__local"))
     placed = numbered.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("slice") == F.col("__s")), "left")
     return placed.select(*df.columns, (F.col("__local") + F.coalesce("offset", F.lit(0))).cast("int").alias(out))
+
+
+def below_each(counts: DataFrame, value: str, n: str, out: str, per_unit: int = 8) -> DataFrame:
+    """Add ``out``, the sum of ``n`` over the rows with a smaller ``value``, to one row for each value.
+
+    Values are cut into equal steps, ``per_unit`` to each unit: of values on a log scale there are a few hundred steps, whose
+    sums are run through in one window; the rest is a window within each step.
+    """
+    stepped = counts.withColumn("__step", F.floor(F.col(value) * per_unit))
+    steps = stepped.groupBy("__step").agg(F.sum(n).alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("__step").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = stepped.withColumn("__inside", inside).join(steps.select("__step", before.alias("__before")), "__step")
+    return joined.select(*counts.columns, (F.col("__inside") + F.col("__before")).alias(out))

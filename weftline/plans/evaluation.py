@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions.text import search_terms
 from weftline.operators import metrics
+from weftline.operators.prefix import below_each
+from weftline.operators.session import SLICE
 from weftline.plans.messages import MESSAGES_SQL, T_SQL, messages
 from weftline.plans.pool import FUSED_SQL, MEMBERS_SQL, VOCAB_SQL, members, meta_vocab, rrf_fusion
 from weftline.runtime import table
@@ -83,9 +85,15 @@ def disclosed_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     words = messages(spark, sf_dir).select("session_id", "request_id", F.explode(F.array_distinct(search_terms(F.col("user_message")))).alias("term"))
     news = words.groupBy("session_id", "term").agg(F.min("request_id").alias("request_id")).groupBy("session_id", "request_id").agg(F.count("*").alias("n_new"))
-    upto = Window.partitionBy("session_id").orderBy("request_id")
-    rows = messages(spark, sf_dir).select("session_id", "request_id").join(news, ["session_id", "request_id"], "left")
-    return rows.select("session_id", "request_id", F.sum(F.coalesce("n_new", F.lit(0))).over(upto).alias("n_words"))
+    rows = messages(spark, sf_dir).select("session_id", "request_id").join(news, ["session_id", "request_id"], "left").withColumn("n", F.coalesce("n_new", F.lit(0)))
+    # A session is cut into slices of ids, which bound the window; earlier slices give an offset.
+    sliced = rows.withColumn("slice", F.floor(F.col("request_id") / SLICE))
+    totals = sliced.groupBy("session_id", "slice").agg(F.sum("n").alias("all"))
+    before = Window.partitionBy("session_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("session_id", "slice", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
+    upto = Window.partitionBy("session_id", "slice").orderBy("request_id")
+    return sliced.withColumn("local", F.sum("n").over(upto)).join(offsets, ["session_id", "slice"]).select(
+        "session_id", "request_id", (F.col("local") + F.col("offset")).alias("n_words"))
 
 
 def overlap_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +115,7 @@ def target_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the targets' popularity lies in the catalogue: share of listings below each target."""
     meta = table(spark, sf_dir, "catalog_meta").filter(F.col("popularity").isNotNull()).select("parent_asin", "popularity")
     counts = meta.groupBy("popularity").agg(F.count("*").alias("n"))
-    share = counts.select("popularity", ((F.sum("n").over(Window.orderBy("popularity")) - F.col("n")) / F.lit(meta.count())).alias("below"))
+    share = below_each(counts, "popularity", "n", "rows_below").select("popularity", (F.col("rows_below") / F.lit(meta.count())).alias("below"))
     t = table(spark, sf_dir, "sessions").select("sample_id", F.col("ground_truth.parent_asin").alias("parent_asin")).join(meta, "parent_asin")
     return t.join(share, "popularity").select("sample_id", F.round("below", 6).alias("below"))
 
