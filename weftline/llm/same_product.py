@@ -51,10 +51,14 @@ WORDS = re.compile(r"[^\W\d_]{3,}")
 LABEL = 2
 
 
+JOINED = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
+
+
 def fold(text: str) -> str:
     """Without accents, joined words set apart, in lower case."""
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text)).lower().strip()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return " ".join(JOINED.sub(" ", text).lower().split())
 
 
 def precise(figure: str, unit: str) -> tuple[float, float] | None:
@@ -253,7 +257,8 @@ def only(column: str) -> Column:
 
 
 def with_group(rows: DataFrame, keys: list[str], **facts: Column) -> DataFrame:
-    """Rows with facts of their group. The facts are aggregated before they are shuffled, and joined back by keys without nulls; AQE splits a group of a third of all rows."""
+    """Rows with facts of their group. Rows are written once and read twice: the facts are aggregated before they are shuffled, and joined back by keys without nulls; AQE splits a group of a third of all rows."""
+    rows = materialize(rows, "grouped")
     return rows.join(rows.groupBy(*keys).agg(*[f.alias(name) for name, f in facts.items()]), keys)
 
 
@@ -279,7 +284,7 @@ def cluster(listings: DataFrame, general: float = GENERAL, k: int = K) -> DataFr
     rows = rows.withColumn("brand", F.when(F.col("announced"), F.col("cued")).when(size != 2, first).when(~at_front, first))
     tokens = F.transform(F.filter("left", lambda x: F.col("brand").isNull() | (x["w"] != F.col("brand"))), lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n")))
     titles = materialize(rows.withColumn("tokens", tokens).drop("left", "cued", "announced"), "titles")
-    voted = titles.drop("tokens").join(vote(titles.select("asin", "tokens"), k), "asin", "left")
+    voted = materialize(titles.drop("tokens").join(vote(titles.select("asin", "tokens"), k), "asin", "left"), "voted")
     # One code is one product: what one of its listings states holds for all of them.
     best = F.min(F.when(F.col("measure").isNotNull(), F.struct("slack", "measure")))
     coded = with_group(voted.filter(F.col("code").isNotNull()), ["code"], c=F.mode("combination", True), b=F.mode("brand", True), s=F.mode("colour", True), w=F.max("weight"), p=F.max("pack"), g=F.max("generation"), m=best)
