@@ -61,14 +61,30 @@ def first_scoring_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shopper.override_turns(samples(spark, sf_dir)).select("sample_id", F.coalesce("override_turn", F.lit(1)).alias("turn"))
 
 
+_RUNS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
 def run(spark: SparkSession, sf_dir: str, arms: dict[str, Config] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The closed loop over all samples of the tables."""
-    meta = table(spark, sf_dir, "catalog_meta")
-    known = meta.select(F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
-    scale = catalog.popularity_scale(known).first()  # one row
-    return sim.simulate(
-        samples(spark, sf_dir), intent_card(spark, sf_dir), coarse_category(spark, sf_dir), meta.select(*SIGNALS), meta_vocab(spark, sf_dir), profile_tags(spark, sf_dir),
-        index_of(spark, sf_dir), reliabilities(spark, sf_dir), (scale["highest"], scale["median"]), arms)
+    """The closed loop over all samples of the tables: verdicts, and a row for every turn.
+
+    A run is a capture that the queries of a session share: it is written once for a folder and its arms, so the tables of the
+    folder must not change meanwhile.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, tuple((arms or {}).items()))
+    if key not in _RUNS:
+        meta = table(spark, sf_dir, "catalog_meta")
+        known = meta.select(F.when(~F.isnan("popularity"), F.col("popularity")).alias("popularity"))
+        scale = catalog.popularity_scale(known).first()  # one row
+        _RUNS[key] = sim.simulate(
+            samples(spark, sf_dir), intent_card(spark, sf_dir), coarse_category(spark, sf_dir), meta.select(*SIGNALS), meta_vocab(spark, sf_dir), profile_tags(spark, sf_dir),
+            index_of(spark, sf_dir), reliabilities(spark, sf_dir), (scale["highest"], scale["median"]), arms)
+    return _RUNS[key]
+
+
+def compared(spark: SparkSession, sf_dir: str, arms) -> tuple[DataFrame, DataFrame]:
+    """The verdicts and turns of some arms, from one closed loop of all arms there are."""
+    verdicts, turns = run(spark, sf_dir, {**LADDER, **SWEEP})
+    return verdicts.filter(F.col("arm").isin(*arms)), turns.filter(F.col("arm").isin(*arms))
 
 
 def simulate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +110,7 @@ LADDER = {
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each step of the ladder, all arms in one closed loop."""
-    return metrics.summary(run(spark, sf_dir, LADDER)[0], "arm")
+    return metrics.summary(compared(spark, sf_dir, LADDER)[0], "arm")
 
 
 #: Arms of the parameter sweep.
@@ -107,7 +123,7 @@ SWEEP = {
 
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by parameter, all arms in one closed loop."""
-    return metrics.summary(run(spark, sf_dir, SWEEP)[0], "arm")
+    return metrics.summary(compared(spark, sf_dir, SWEEP)[0], "arm")
 
 
 def gate_rows(verdicts: DataFrame, steps: list[tuple[str, str]], alpha: float = 0.05) -> DataFrame:
@@ -133,7 +149,7 @@ def gate_rows(verdicts: DataFrame, steps: list[tuple[str, str]], alpha: float =
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder's steps with their tests."""
     names = list(LADDER)
-    return gate_rows(run(spark, sf_dir, LADDER)[0], [("core", n) for n in names[1:4]] + [("popularity", "rerank"), ("rerank", "ask")])
+    return gate_rows(compared(spark, sf_dir, LADDER)[0], [("core", n) for n in names[1:4]] + [("popularity", "rerank"), ("rerank", "ask")])
 
 
 def ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,16 +175,16 @@ def extrapolated(verdicts: DataFrame, turns: DataFrame) -> DataFrame:
                       F.round(0.5 * F.col("hit_rate") + 0.3 * F.col("mrr") + 0.2 * F.col("efficiency"), 6).alias("composite"))
 
 
-#: Windows of the depth gate.
-DEPTHS = {f"{w:03}": replace(CODED, window=w) for w in (50, 100, 200)}
+#: Arms of the depth gate: windows of 50, 100 and 200.
+DEPTHS = ("window 50", "window 100", "coded")
 
 
 def depth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window of the reranker: ranks reached, failures of retrieval and of ranking, and failures recovered and introduced against the least window."""
-    verdicts, turns = run(spark, sf_dir, DEPTHS)
+    verdicts, turns = compared(spark, sf_dir, DEPTHS)
     reach = turns.filter("eligible").groupBy("arm", "sample_id").agg(F.max(F.col("pool_pos").isNotNull()).alias("reached"))
     v = verdicts.join(reach, ["arm", "sample_id"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
-    base = verdicts.filter(F.col("arm") == min(DEPTHS)).select("sample_id", F.col("hit").alias("base_hit"))
+    base = verdicts.filter(F.col("arm") == DEPTHS[0]).select("sample_id", F.col("hit").alias("base_hit"))
     return v.join(base, "sample_id").groupBy("arm").agg(
         *[F.count_if(F.col("best_rank") <= k).alias(f"top{k}") for k in (1, 3, 5, 10)], F.count_if(~F.col("hit") & ~F.col("reached")).alias("retrieval_failures"),
         F.count_if(~F.col("hit") & F.col("reached")).alias("ranking_failures"), F.count_if(F.col("hit") & ~F.col("base_hit")).alias("recovered"),
