@@ -34,7 +34,7 @@ def test_products_and_signals(spark):
 def test_bm25_against_brute_force(spark):
     p = catalog.products(products(spark))
     queries = spark.createDataFrame([(1, "blue shirt please"), (2, None), (3, "zzz")], "q int, t string")
-    got = {(r.q, r.parent_asin): r.score for r in search.bm25(search.query_terms(queries, "q", "t"), "q", search.postings(p), search.lengths(p)).collect()}
+    got = {(r.q, r.parent_asin): r.score for r in search.bm25(search.query_terms(queries, "q", "t"), "q", search.Index(p)).collect()}
     docs = {}
     for row in ITEMS:
         fields = {"title": row[1], "categories": row[2], "features": row[3], "details": row[4] and [f"{k} {v}" for k, v in row[4].items()], "store": row[5], "description": row[6]}
@@ -60,10 +60,44 @@ def test_fusion_order_and_cap(spark):
 def test_order_does_not_depend_on_partitions(spark):
     p = catalog.products(products(spark))
     terms = search.query_terms(spark.createDataFrame([(1, "blue shirt")], "q int, t string"), "q", "t")
-    results = [sorted(map(tuple, search.top(search.bm25(terms, "q", search.postings(p).repartition(n), search.lengths(p)), "q", 10).collect())) for n in (1, 7, 64)]
+    results = [sorted(map(tuple, search.top(search.bm25(terms, "q", search.Index(p.repartition(n))), "q", 10).collect())) for n in (1, 7, 64)]
     assert results[0] == results[1] == results[2]
 
 
+def test_category_route_against_brute_force(spark):
+    """Terms, beginnings and category beginnings each count as phrases; only products with a category phrase come out."""
+    rows = [("A", "blue shirts shirt", ["Shirts", "Tops"]), ("B", "shirt", ["Hats"]), ("C", "plain", ["Shirt"]), ("D", "blue hat", ["Hats"]), ("E", None, None)]
+    items = spark.createDataFrame([(a, t, c, None, None, None, None) for a, t, c in rows], "parent_asin string, title string, categories array<string>, features array<string>, details map<string,string>, store string, description array<string>")
+    queries = spark.createDataFrame([(1, ["blue", "shirt"], ["blue"], ["shirt"]), (2, ["blue"], [], []), (3, ["zzz"], [], ["zzz"])], "q int, said array<string>, named array<string>, stems array<string>")
+    got = {(r.q, r.parent_asin): r.score for r in search.category_bm25(search.category_phrases(queries, "q"), "q", search.Index(items)).collect()}
+    docs = {a: {"title": (t or "").split(), "categories": [x.lower() for x in c or []]} for a, t, c in rows}
+    mean = sum(len(t) for d in docs.values() for t in d.values()) / len(docs)
+    weights = {"title": 6.0, "categories": 4.0}
+    want: dict = {}
+    for test, fields in ((lambda w: w == "blue", weights), (lambda w: w == "shirt", weights), (lambda w: w.startswith("shirt"), weights), (lambda w: w.startswith("shirt"), {"categories": 4.0})):
+        hits = {k: tf for k, d in docs.items() if (tf := sum(v * sum(map(test, d[f])) for f, v in fields.items()))}
+        idf = max(math.log((5 - len(hits) + 0.5) / (len(hits) + 0.5)), 0) or 1e-6
+        for k, tf in hits.items():
+            want[k] = want.get(k, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(map(len, docs[k].values())) / mean))
+    assert got.keys() == {(1, "A"), (1, "C")} and all(abs(got[1, k] - want[k]) < 2e-6 for k in "AC")
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(search, "BLOCK", 3)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(150)] + [(200, [0.0] * 5), (201, None), (202, [1.0, 2.0]), (203, [2.0, 4.0])]
+    got = [tuple(r) for r in search.nearest(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(5), F.col("vec_id") % 10 == 0, 4).select("vec_id", "neighbour", "rank").collect()]
+    exact = {r.vec_id: r.embedding for r in spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").collect() if r.embedding}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = []
+    for q in range(0, 150, 10):
+        near = sorted((-round(dot(exact[q], v) / math.sqrt(dot(v, v) * dot(exact[q], exact[q])), 6), i) for i, v in exact.items() if i != q and len(v) == 5 and any(v))
+        want += [(q, i, r) for r, (_, i) in enumerate(near[:4], 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_prefixes(spark):
     d = spark.createDataFrame([("shoes",), ("shoe",), ("show",), ("sh",), ("xshoe",)], "term string")
     s = spark.createDataFrame([(1, "shoe"), (2, "sh"), (3, "zz")], "q int, stem string")
