@@ -3,6 +3,7 @@ import json
 import pytest
 
 from weftline.operators.nested import _parse_deep, deeper, flatten_records, read_value, table_fields, table_of
+from weftline.plans.nested_records import p2_fields, p2_found, p2_tables
 
 LINES = [
     (1, json.dumps({"details": {"a": [{"x": 1}, None, 3, {"b": [{"y": 2}]}], "one": {"z": 1}}, "features": ["s", {"text": "t"}]})),
@@ -85,3 +86,62 @@ def test_tables_and_their_columns(spark):
     assert {tuple(r) for r in table_fields(flat).collect()} == {("details/a", "x", "decimal", 2), ("details/a", "t", "text", 1), ("details/a/b", "ok", "truth", 1)}
     assert {tuple(r) for r in table_of(flat, "details/a", ["x", "t"]).collect()} == {
         (1, "details/a/0", "", 0, "1", "s"), (1, "details/a/1", "", 1, "2.5", None), (2, "details/a/0", "", 0, None, None)}
+
+
+WHOLE = [
+    json.dumps({"features": ["s", {"text": "t"}, None, ["u", {"n": [7]}]], "categories": "c",
+                "details": {"Brand": "B", "care": ["w", 1], "o": [{"x": 1, "ship": {"free": True, "by": {"air": False}, "opts": [{"p": 1}]}}], "5": {"v": 2}}}),
+    json.dumps({"features": None, "details": json.dumps({"Brand": "C", "o": {"x": 2, "codes": ["k"]}, "~": {"value": 3}})}),
+]
+
+
+def held(record):
+    """(keys and positions without those of lone objects, value) of all scalars and nulls below the fields, by plain recursion."""
+    def walk(at, v):
+        v = read_value(v)
+        if isinstance(v, (dict, list)):
+            for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+                yield from walk(f"{at}/{k}", x)
+        else:
+            yield at, v
+    return sorted((at, json.dumps(v)) for f in FIELDS if f in record for at, v in walk(f, record[f]))
+
+
+def test_whole_tables_hold_every_value(spark):
+    """Fields of objects alone under a key, scalars in arrays and right under a field come out too, each once."""
+    lines = spark.createDataFrame(list(enumerate(WHOLE, 1)), "line_no bigint, raw_line string")
+    flat = flatten_records(lines, "line_no", "raw_line", FIELDS, whole=True)
+    rows = flat.collect()
+    for record, line in enumerate(WHOLE, 1):
+        got = []
+        for r in rows:
+            if r.record == record:
+                got += [(r.node_path if r.schema_path.endswith("/~") else f"{r.node_path}/{k}", json.dumps(x)) for k, x in json.loads(r.scalars).items()]
+        # Of the second line, "o" alone counts as element 0, since the first holds an array of objects there.
+        assert sorted(got) == [(at.replace("/o/", "/o/0/") if record == 2 else at, v) for at, v in held(json.loads(line))]
+    by = {(r.record, r.node_path): (r.parent_path, r.ordinal, r.depth, r.schema_path) for r in rows}
+    assert by[1, "details/o/0/ship"] == ("details/o/0", None, 1, "details/o/ship")
+    assert by[1, "details/o/0/ship/opts/0"] == ("details/o/0", 0, 2, "details/o/ship/opts")
+    assert by[1, "features/3/1/n/0"] == ("features/3/1", 0, 1, "features/n/~") and by[1, "features/2"] == ("", 2, 0, "features/~")
+    assert by[1, "details"] == ("", None, 0, "details") and by[1, "details/5"] == ("", None, 0, "details/5")
+    assert by[2, "details/~"] == ("", None, 0, "details/~0") and by[2, "details/o/0/codes/0"] == ("details/o/0", 0, 1, "details/o/codes/~")
+    elements = flatten_records(lines, "line_no", "raw_line", FIELDS)
+    assert set(elements.collect()) < set(rows) and elements.count() == 5
+    assert {tuple(r) for r in table_fields(flat).filter("schema_path IN ('details', 'features/~')").collect()} == {("details", "Brand", "text", 2), ("features/~", "value", "text", 2)}
+
+
+def test_queries_give_the_whole(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(WHOLE, 1)), "line_no bigint, raw_line string").write.parquet(f"{tmp_path}/catalog_raw.parquet")
+    assert p2_found(spark, str(tmp_path)).count() == 5
+    texts = {x for r in p2_tables(spark, str(tmp_path)).collect() for x in json.loads(r.scalars).values() if isinstance(x, str)}
+    assert texts == {"s", "t", "u", "c", "B", "w", "C", "k"}
+    assert {"details/Brand", "details/care/~/value", "details/o/ship/free"} <= {f"{r.schema_path}/{r.field}" for r in p2_fields(spark, str(tmp_path)).collect()}
+
+
+def test_numbers_and_halves_that_no_column_holds(spark):
+    """NaN hides no other field of its row; half a surrogate pair, in a value or a key, stops no line."""
+    lines = ['{"details": {"a": [{"x": NaN, "y": 1}, {"x": -1e999, "y": 2}]}}', '{"details": {"b": [{"t": "p\\ud83d"}], "\\udc00": [{}]}}']
+    flat = flatten_records(spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, raw_line string"), "line_no", "raw_line", FIELDS)
+    assert {(r.node_path, r.scalars) for r in flat.collect()} == {
+        ("details/a/0", '{"x": "NaN", "y": 1}'), ("details/a/1", '{"x": "-Infinity", "y": 2}'), ("details/b/0", '{"t": "p�"}'), ("details/�/0", "{}")}
+    assert {tuple(r) for r in table_fields(flat).filter("schema_path = 'details/a'").collect()} == {("details/a", "x", "text", 2), ("details/a", "y", "whole", 2)}

@@ -8,11 +8,15 @@ schema path, and settled by a join with the schema paths that hold arrays.
 
 Schema paths leave out positions, and a key that recurs on its own path (a part of a part) leads back to its first
 occurrence, so that recursive structures share one table at any depth.
+
+Array elements that are objects are not all that a record holds. What else there is, objects alone under a key and scalars
+in arrays or right under a field, comes out as rows of tables of their own if the whole is asked for.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.runtime import materialize, spread
 
-#: Kinds of a step: key, position of an array in an array, position of an object, and an object alone whose step is open.
-KEY, INNER, ELEMENT, OPEN = "k", "a", "o", "?"
+#: Kinds of a step: key, position of an array in an array, position of an object, an object alone whose step is open, and position of a scalar.
+KEY, INNER, ELEMENT, OPEN, VALUE = "k", "a", "o", "?", "v"
 
 NODE = T.StructType([
     T.StructField("record", T.LongType()),
@@ -36,6 +40,8 @@ NODE = T.StructType([
 
 TOKEN = re.compile(r'[ \t\n\r]*([\[\]{},:]|"(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+)', re.S)
 END = re.compile(r"[ \t\n\r]*\Z")
+#: Halves of a surrogate pair, which JSON can escape one by one but no text column can hold.
+LONE = re.compile("[\ud800-\udfff]")
 
 
 def parse_json(text: str):
@@ -133,11 +139,25 @@ def joined(schema: tuple[str, ...]) -> str:
     return "/".join(k.replace("~", "~0").replace("/", "~1") if "/" in k or "~" in k else k for k in schema)
 
 
-def dewey(record: dict, fields: tuple[str, ...], scalars: bool = True) -> Iterator[tuple]:
+def values_path(schema: tuple[str, ...]) -> str:
+    """The schema path of the scalars in the arrays at ``schema``; no key is written "~", so no table of objects has it."""
+    return f"{joined(schema)}/~"
+
+
+def as_json(flat: dict) -> str:
+    """An object of scalars as JSON; NaN and infinities, which JSON has not, become texts, so that they hide no other field."""
+    try:
+        return json.dumps(flat, ensure_ascii=False, allow_nan=False)
+    except ValueError:
+        return json.dumps({k: json.dumps(x) if isinstance(x, float) and not math.isfinite(x) else x for k, x in flat.items()}, ensure_ascii=False)
+
+
+def dewey(record: dict, fields: tuple[str, ...], scalars: bool = True, whole: bool = False) -> Iterator[tuple]:
     """(steps, kinds, schema path of each open step, schema path, scalars) of each object below ``fields`` that is or may be an array's element.
 
-    An explicit stack replaces recursion, so depth isn't limited. Keys are escaped in schema paths, so that a key with "/"
-    makes no path of two keys.
+    With ``whole`` also those of each scalar or null that is no field of an object, so that together the rows hold all that
+    is below ``fields``. An explicit stack replaces recursion, so depth isn't limited. Keys are escaped in schema paths, so
+    that a key with "/" makes no path of two keys.
     """
     stack = [((f,), (KEY,), (), (f,), record[f]) for f in reversed(fields) if f in record]
     while stack:
@@ -151,17 +171,21 @@ def dewey(record: dict, fields: tuple[str, ...], scalars: bool = True) -> Iterat
                     below.append(((*steps, str(i)), (*kinds, ELEMENT), opened, schema, x))
                 elif isinstance(x, list):
                     below.append(((*steps, str(i)), (*kinds, INNER), opened, schema, x))
+                elif whole:
+                    yield (*steps, str(i)), (*kinds, VALUE), opened, values_path(schema), as_json({"value": x}) if scalars else None
             stack.extend(reversed(below))
         elif isinstance(v, dict):
             opened = (*opened, *[None] * (len(steps) - len(opened)))
             if kinds[-1] == KEY:
                 steps, kinds, opened = (*steps, "0"), (*kinds, OPEN), (*opened, joined(schema))
             flat = {k: x for k, x in v.items() if x is None or isinstance(x, (str, int, float, bool))} if scalars else None
-            yield steps, kinds, opened, joined(schema), json.dumps(flat, ensure_ascii=False) if scalars else None
+            yield steps, kinds, opened, joined(schema), as_json(flat) if scalars else None
             stack.extend(((*steps, k), (*kinds, KEY), opened, deeper(schema, k), x) for k, x in reversed(v.items()))
+        elif whole and len(steps) == 1:
+            yield steps, kinds, opened, values_path(schema), as_json({"value": v}) if scalars else None
 
 
-def label_nodes(lines: DataFrame, record: str, text: str, fields: tuple[str, ...], scalars: bool = True) -> DataFrame:
+def label_nodes(lines: DataFrame, record: str, text: str, fields: tuple[str, ...], scalars: bool = True, whole: bool = False) -> DataFrame:
     """Dewey-labelled objects of every line that parses as a JSON object; others (broken, blank, null, not an object) give none."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +199,7 @@ def label_nodes(lines: DataFrame, record: str, text: str, fields: tuple[str, ...
                 except ValueError:
                     continue
                 if isinstance(value, dict):
-                    rows.extend((key, *node) for node in dewey(value, fields, scalars))
+                    rows.extend((key, *node) for node in dewey(value, fields, scalars, whole))
                 if len(rows) > 20_000:
                     yield to_batch(rows)
                     rows = []
@@ -184,21 +208,35 @@ def label_nodes(lines: DataFrame, record: str, text: str, fields: tuple[str, ...
     kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string()]
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NODE.fieldNames())
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        try:
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        except UnicodeEncodeError:
+            arrays = [pa.array([encodable(x) for x in c], k) for c, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=NODE.fieldNames())
+
+    def encodable(x):
+        return LONE.sub("\ufffd", x) if isinstance(x, str) else tuple(map(encodable, x)) if isinstance(x, tuple) else x
 
     return spread(lines.select(F.col(record).cast("long").alias("record"), F.col(text).alias("line"))).mapInArrow(parse, NODE)
 
 
-def flatten_records(lines: DataFrame, record: str, text: str, fields: tuple[str, ...], scalars: bool = True) -> DataFrame:
+def flatten_records(lines: DataFrame, record: str, text: str, fields: tuple[str, ...], scalars: bool = True, whole: bool = False) -> DataFrame:
     """Flat rows ``record, node_path, parent_path, ordinal, depth, schema_path, scalars`` of all array elements that are objects.
 
     ``scalars`` holds the element's own scalar fields as JSON, so that rows of one ``schema_path`` form one table, linked
     by ``(record, parent_path)``; it is null without ``scalars``. Defined results: a line that is null, blank, broken or no object gives no rows; empty
     objects count; nulls, scalars and arrays as elements do not; an empty table gives an empty table; repeated lines each
     give their rows; nesting may be of any depth; columns besides ``record`` and ``text`` are ignored, whatever their names.
+    Half a surrogate pair becomes U+FFFD; NaN and infinities become texts.
+
+    With ``whole`` there are further rows for the rest of what the fields hold: one for each object alone under a key or
+    field that is no element, in the table of its schema path; and one for each scalar or null that is an array's element
+    or a field's only value, in the table of the array's schema path and "/~", as ``value``. Their ``parent_path`` is the
+    nearest enclosing element too, their ``depth`` the number of enclosing elements, and their ``ordinal`` the place in
+    the array, null outside of one. Only empty arrays leave no row.
     """
-    nodes = materialize(label_nodes(lines, record, text, fields, scalars).withColumn("node", F.monotonically_increasing_id()), "dewey")
+    nodes = materialize(label_nodes(lines, record, text, fields, scalars, whole).withColumn("node", F.monotonically_increasing_id()), "dewey")
     arrays = nodes.filter(F.element_at("kinds", -1) == ELEMENT).select(F.col("schema_path").alias("at")).distinct()
     is_open = F.exists("open_at", lambda x: x.isNotNull())
     settled = nodes.filter(~is_open).withColumn("held", F.array().cast("array<string>"))
@@ -211,11 +249,11 @@ def flatten_records(lines: DataFrame, record: str, text: str, fields: tuple[str,
         .groupBy(*label)
         .agg(F.collect_set(F.when(F.col("known"), F.col("at"))).alias("held"))
     )
-    return _settle(settled.unionByName(unsettled))
+    return _settle(settled.unionByName(unsettled), whole)
 
 
-def _settle(nodes: DataFrame) -> DataFrame:
-    """Drop the open steps that no array backs, keep rows that end in an element, and derive parents by truncation."""
+def _settle(nodes: DataFrame, whole: bool = False) -> DataFrame:
+    """Drop the open steps that no array backs, keep rows that end in an element (with ``whole``, all), and derive parents by truncation."""
     walk = F.filter(
         F.transform(F.arrays_zip("steps", "kinds", "open_at"), lambda s: F.struct(
             s["steps"].alias("step"),
@@ -224,15 +262,16 @@ def _settle(nodes: DataFrame) -> DataFrame:
     path = lambda steps: F.concat_ws("/", F.transform(steps, lambda s: s["step"]))
     is_element = (F.element_at("kinds", -1) == ELEMENT) | F.array_contains("held", F.element_at("open_at", -1))
     above = F.transform(F.slice("walk", F.lit(1), F.size("walk") - 1), lambda s, i: F.when(s["kind"] == ELEMENT, i + 1).otherwise(F.lit(0)))
+    last = F.element_at("walk", -1)
     return (
-        nodes.filter(is_element)
+        (nodes if whole else nodes.filter(is_element))
         .withColumn("walk", walk)
         .withColumn("up", F.coalesce(F.array_max(above), F.lit(0)))
         .select(
             "record",
             path(F.col("walk")).alias("node_path"),
             path(F.slice("walk", F.lit(1), F.col("up"))).alias("parent_path"),
-            F.element_at("walk", -1)["step"].cast("int").alias("ordinal"),
+            F.when(last["kind"] != KEY, last["step"].try_cast("int")).alias("ordinal"),
             F.size(F.filter("walk", lambda s: s["kind"] == ELEMENT)).alias("depth"),
             "schema_path",
             "scalars",

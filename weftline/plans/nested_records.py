@@ -17,14 +17,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat tables themselves, told apart by ``schema_path``; each row has its scalar fields and the link to its parent."""
-    nodes = flatten_records(table(spark, sf_dir, "catalog_raw"), "line_no", "raw_line", FIELDS)
+    """The flat tables themselves, told apart by ``schema_path``; each row has its scalar fields and the link to its parent.
+
+    They hold all that the fields do: besides array elements, objects alone under a key and scalars outside of objects.
+    """
+    nodes = flatten_records(table(spark, sf_dir, "catalog_raw"), "line_no", "raw_line", FIELDS, whole=True)
     return nodes.withColumnRenamed("record", "line_no")
 
 
 def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables that the lines make up, with their columns."""
-    return table_fields(flatten_records(table(spark, sf_dir, "catalog_raw"), "line_no", "raw_line", FIELDS))
+    return table_fields(flatten_records(table(spark, sf_dir, "catalog_raw"), "line_no", "raw_line", FIELDS, whole=True))
 
 
 QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_fields": p2_fields}
