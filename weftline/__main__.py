@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession, functions as F
 
 from weftline.config import CODED, PINNED
-from weftline.operators import catalog, search, shopper, simulate
+from weftline.operators import catalog, shopper, simulate
+from weftline.operators.blocks import Blocks
 from weftline.plans.messages import coarse_columns
 from weftline.plans.session import tags_of
 from weftline.runtime import materialize
@@ -30,7 +31,7 @@ def main(arguments: list[str] | None = None) -> None:
     reliability = {r["slot"]: r["reliability"] for r in catalog.coverage(meta).collect()}  # six rows
     vocab = meta.select("parent_asin", F.split("vocab", " ").alias("terms")).filter(F.col("terms")[0] != "")
     verdicts, _ = simulate.simulate(
-        samples, shopper.card(items), coarse_columns(items), meta, vocab, tags_of(sessions), search.Index(items), reliability, (scale["highest"], scale["median"]),
+        samples, shopper.card(items), coarse_columns(items), meta, vocab, tags_of(sessions), Blocks(items), reliability, (scale["highest"], scale["median"]),
         {chosen.config: PINNED if chosen.config == "pinned" else CODED})
     verdicts = materialize(verdicts.drop("arm"), "verdicts")
     write_results(verdicts, chosen.output)
